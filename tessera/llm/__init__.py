@@ -1,0 +1 @@
+"""Subpackage of Tessera."""
