@@ -59,32 +59,59 @@ def words(text: Column) -> Column:
     return F.filter(F.split(spaced, " ", -1), lambda w: w != "")
 
 
+#: Low bits of a packed window that hold its place in the text.
+PLACE_BITS = 24
+
+
 def repeated_words(ws: Column) -> Column:
     """Words in 3-word windows that occur at least twice in the list.
 
-    Hashes of all windows come first. Only if two are alike are the windows
-    sorted, by hash and then by their words, and compared with their neighbours.
+    A window is packed into a long, 40 bits of hash above its place, and the
+    longs are sorted; windows next to one another with the same hash are
+    compared word by word. If all such neighbours are alike, they are the
+    repeated windows. Else two windows share a hash, and the windows are sorted
+    by their words.
     """
+    mask = (1 << PLACE_BITS) - 1
+
+    def with_next(w: Column, i: Column) -> tuple[Column, Column, Column]:
+        return w, F.get(ws, i + 1), F.get(ws, i + 2)
+
+    def windows(of) -> Column:
+        return F.sort_array(F.slice(F.transform(ws, of), F.lit(1), F.size(ws) - 2))
 
-    def third(i: Column) -> tuple[Column, Column]:
-        return F.get(ws, i + 1), F.get(ws, i + 2)
+    def count(places: Column) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2)))))
 
-    hashes = F.slice(F.transform(ws, lambda w, i: F.xxhash64(w, *third(i))), F.lit(1), F.size(ws) - 2)
+    def packed(w: Column, i: Column) -> Column:
+        return F.xxhash64(*with_next(w, i)).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))
 
-    def window(w: Column, i: Column) -> Column:
-        b, c = third(i)
-        return F.struct(F.xxhash64(w, b, c).alias("h"), w.alias("a"), b.alias("b"), c.alias("c"), i.alias("i"))
+    def neighbours(s: Column) -> Column:
+        def of(x: Column, k: Column) -> Column:
+            y = F.get(s, k + 1)
+            pair = F.array(x.bitwiseAND(F.lit(mask)).cast("int"), y.bitwiseAND(F.lit(mask)).cast("int"))
+            return F.when(F.shiftright(x.bitwiseXOR(y), PLACE_BITS) == 0, pair)
 
-    def covered(s: Column) -> Column:
+        return F.filter(F.transform(s, of), lambda p: p.isNotNull())
+
+    def equal(p: Column) -> Column:
+        i, j = p[0], p[1]
+        return (F.get(ws, i) == F.get(ws, j)) & (F.get(ws, i + 1) == F.get(ws, j + 1)) & (F.get(ws, i + 2) == F.get(ws, j + 2))
+
+    def by_words(s: Column) -> Column:
         def same(x: Column, y: Column) -> Column:
-            return (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+            return (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+
+        hits = F.transform(s, lambda x, k: F.when(same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)), x["i"]))
+        return count(F.filter(hits, lambda i: i.isNotNull()))
 
-        twice = F.filter(F.transform(s, lambda x, k: F.when(same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)), x["i"])), lambda i: i.isNotNull())
-        return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda i: F.array(i, i + 1, i + 2)))))
+    def spelled(w: Column, i: Column) -> Column:
+        return F.struct(*[x.alias(n) for x, n in zip(with_next(w, i), "abc", strict=True)], i.alias("i"))
 
-    exact = let(F.sort_array(F.slice(F.transform(ws, window), F.lit(1), F.size(ws) - 2)), covered)
-    alike = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
-    return F.when(F.size(ws) < 4, 0).when(alike, exact).otherwise(0)
+    slow = let(windows(spelled), by_words)
+    pairs = let(windows(packed), neighbours)
+    quick = let(pairs, lambda ps: F.when(F.forall(ps, equal), count(F.flatten(ps))).otherwise(slow))
+    return F.when(F.size(ws) < 4, 0).when(F.size(ws) > mask, slow).otherwise(quick)
 
 
 def metrics(text: Column) -> dict[str, Column]:
