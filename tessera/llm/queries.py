@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, quality_rules, sharding
+from tessera.llm import language_id, mixing, quality_model, quality_rules, sharding, simhash
 from tessera.llm.common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", simhash.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
+
+
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = quality_model.score(docs, quality_model.learn(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= quality_model.GOOD).cast("int").alias("predicted"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("row_key", "source")
 
@@ -25,8 +36,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = language_id.identify(docs, language_id.profiles(docs.where(~language_id.held_out())))
+    return rows.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op6_quality_rules, op7_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality_model, op4_mixing, op6_quality_rules, op7_sharding, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
