@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, mixing, quality_model, quality_rules, sharding, simhash
+from tessera.llm import bitsliced, language_id, mixing, quality_model, quality_rules, sharding, simhash
 from tessera.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("row_key", "source")
 
 
+def op5_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.self_search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.measure(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -43,7 +47,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality_model, op4_mixing, op6_quality_rules, op7_sharding, op8_language_id)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality_model, op4_mixing, op5_bitsliced, op6_quality_rules, op7_sharding, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
