@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bitsliced, language_id, mixing, quality_model, quality_rules, sharding, simhash
-from tessera.llm.common import table
+from tessera.llm import bitsliced, html_extract, language_id, mixing, quality_model, quality_rules, sharding, simhash, token_files
+from tessera.llm.common import shared_dir, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,12 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= quality_model.GOOD).cast("int").alias("predicted"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tessera/tokens-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_files.digest(token_files.read(spark, path))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("row_key", "source")
 
@@ -46,8 +54,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.model())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality_model, op4_mixing, op5_bitsliced, op6_quality_rules, op7_sharding, op8_language_id)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality_model, op3_token_files, op4_mixing, op5_bitsliced, op6_quality_rules, op7_sharding, op8_language_id, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
