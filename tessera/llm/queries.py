@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bitsliced, html_extract, language_id, mixing, quality_model, quality_rules, sharding, simhash, token_files
+from tessera.llm import bitsliced, byte_bpe, html_extract, language_id, mixing, quality_model, quality_rules, sharding, simhash, token_files
 from tessera.llm.common import shared_dir, table
 
 
@@ -54,12 +54,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return byte_bpe.digest(byte_bpe.decode(rows, path))
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.model())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality_model, op3_token_files, op4_mixing, op5_bitsliced, op6_quality_rules, op7_sharding, op8_language_id, op10_html_extract)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality_model, op3_token_files, op4_mixing, op5_bitsliced, op6_quality_rules, op7_sharding, op8_language_id, op9_byte_bpe, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
