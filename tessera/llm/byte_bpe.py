@@ -153,30 +153,16 @@ def fold(words: Column, ranks: Column) -> Column:
 SPACES = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 
 
-def ranges(kind: str) -> str:
-    """The characters of a Unicode category, as a class of the standard `re` module."""
-    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
-    return "".join(f"\\U{ord(r[0]):08x}-\\U{ord(r[-1]):08x}" for run in regex.findall(kind + "+", every) for r in unbroken(run))
-
-
-def unbroken(run: str) -> list[str]:
-    """A run of characters, cut where the surrogates are left out."""
-    at = next((i for i in range(1, len(run)) if ord(run[i]) != ord(run[i - 1]) + 1), None)
-    return [run] if at is None else [run[:at], *unbroken(run[at:])]
-
-
 @lru_cache(maxsize=2)
-def splitter(pattern: str) -> re.Pattern:
-    """`pattern` for the standard `re` module, which is faster: categories are
-    spelled out, and white space is what Unicode says."""
-    inside = False
-    out = []
-    for token in re.findall(r"\\p\{\w+\}|\\.|.", pattern):
-        if token in "[]":
-            inside = token == "["
-        expanded = ranges(token) if token.startswith(r"\p") else SPACES if token == r"\s" else f"^{SPACES}" if token == r"\S" else None
-        out.append(token if expanded is None else expanded if inside else f"[{expanded}]")
-    return re.compile("".join(out))
+def splitter(pattern: str) -> regex.Pattern:
+    """`pattern` compiled, with the white space that Unicode names spelled out:
+    four control characters count as such in Python only."""
+    out, inside = [], False
+    for token in re.findall(r"\\.|.", pattern, re.DOTALL):
+        inside = token == "[" or inside and token != "]"
+        spaces = {r"\s": SPACES, r"\S": f"^{SPACES}"}.get(token)
+        out.append(token if spaces is None else spaces if inside else f"[{spaces}]")
+    return regex.compile("".join(out))
 
 
 def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
