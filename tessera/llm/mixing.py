@@ -64,7 +64,9 @@ def schedule(sources: DataFrame, block: int = BLOCK_WORDS, shard_blocks: int = S
     s = s.withColumn("epochs", F.expr("want div source_size")).withColumn("rest", F.expr("want % source_size"))
     s = s.withColumn("slots", F.expr(f"epochs * blocks + (rest + {block - 1}) div {block}L")).where("slots > 0")
     s = s.withColumn("shards", F.ceil(F.sum("slots").over(Window.partitionBy()) / shard_blocks))
-    runs = s.select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOT_RUN}L)")).alias("run")).repartition("src", "run")
+    runs = s.select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOT_RUN}L)")).alias("run"))
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartition(tasks, "src", "run")  # a set number, which adaptive execution doesn't lower
     slots = runs.select("*", F.explode(F.expr(f"sequence(run * {SLOT_RUN}L, least(slots, (run + 1) * {SLOT_RUN}L) - 1)")).alias("slot"))
     slots = slots.withColumn("epoch", F.expr("slot div blocks")).withColumn("j", F.expr("slot % blocks"))
     dice = unit_hash(F.lit(str(seed)), "src", "epoch")
@@ -128,9 +130,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOC
     spans = spans.select("row", "src", "block", begin.alias("begin"), end.alias("end"))
     uses = schedule(sources.drop("n_source"), block, seed=seed).groupBy("src", "block", "words").agg(F.count("*").alias("times"))
     part = F.greatest(F.least(F.col("end"), F.col("words")) - F.col("begin"), F.lit(0)) * F.col("times")
-    took = spans.join(uses, ["src", "block"]).select("row", part.alias("part"))
+    # the planner takes unfolded rows for few: without the hint it would broadcast them
+    took = spans.join(uses.hint("merge"), ["src", "block"]).select("row", part.alias("part"))
     took = took.groupBy("row").agg(F.sum("part").alias("part"))
-    out = placed.join(took, "row", "left")
+    out = placed.join(took.hint("merge"), "row", "left")
     return out.select("row_key", "doc_id", "source", "size", "source_size", "target", F.coalesce("part", F.lit(0)).cast("long").alias("taken"))
 
 

@@ -174,5 +174,13 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 def good_documents(docs: DataFrame, labels: DataFrame, least: float = GOOD) -> DataFrame:
     """The rows of `docs` that score `least` or more, with the same columns."""
     machine = learn(docs, labels)
-    whole = docs.select(F.struct("*").alias("doc_id"), "text", "n_chars")
-    return score(whole, machine).where(F.col("score") >= least).select("doc_id.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, len(b), 256):
+                part = b.slice(k, 256)
+                text, n_chars = part.column(part.schema.get_field_index("text")), part.column(part.schema.get_field_index("n_chars"))
+                rows = joined([features(t.as_py(), n.as_py()) for t, n in zip(text, n_chars, strict=True)])
+                yield part.filter(pa.array(machine.score(*rows) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -112,16 +112,17 @@ def links(prints: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """
     cells = prints.select("print", cell_of(F.col("print")).alias("cell"))
     cells = cells.select("print", F.explode(nearby_cells(F.col("print"), F.col("cell"))).alias("c")).select("print", "c.at", "c.step")
+    # the planner takes the unfolded cells for few: hints keep it from broadcasting them
     busy = cells.groupBy("at").agg(F.count("*").alias("n")).where("n > 1")
-    entries = cut(cells.join(busy, "at"))
+    entries = cut(cells.join(busy.hint("merge"), "at"))
 
     few = entries.where(F.col("n") <= cell_rows).select("at", "print")
     other = few.select("at", F.col("print").alias("b"))
-    pairs = few.withColumnRenamed("print", "a").join(other, "at").where("a < b and bit_count(a ^ b) <= 2").select("a", "b")
+    pairs = few.withColumnRenamed("print", "a").join(other.hint("merge"), "at").where("a < b and bit_count(a ^ b) <= 2").select("a", "b")
 
     divided = entries.where(F.col("n") > cell_rows).select("print", F.explode(midpoints(F.col("print"), F.col("step"))).alias("mid"))
     least = divided.groupBy("mid").agg(F.min("print").alias("a"))
-    stars = divided.join(least, "mid").select("a", F.col("print").alias("b")).where("a < b")
+    stars = divided.join(least.hint("merge"), "mid").select("a", F.col("print").alias("b")).where("a < b")
     return pairs.union(stars).distinct()
 
 
