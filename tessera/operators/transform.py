@@ -86,7 +86,7 @@ def trusted_top(ranked: DataFrame, verify, limit: int, batch: int = 8, least: st
     while limit > 0 and len(found) < limit:
         rows = ranked
         if after is not None:
-            later = (F.col("score") < after["score"]) | ((F.col("score") == after["score"]) & (F.struct(*RANK) > F.struct(*[F.lit(after[c]) for c in RANK])))
+            later = (F.col("score") < after["score"]) | ((F.col("score") == after["score"]) & (F.struct(*RANK) > F.struct(*[F.lit(after[c]).cast(ranked.schema[c].dataType).alias(c) for c in RANK])))
             rows = rows.where(later)
         some = verify(rows.orderBy(*order).limit(batch)).orderBy(*order).collect()  # `batch` rows
         if not some:

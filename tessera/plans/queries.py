@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import stats, text
 from tessera.operators import catalog, compat, contract, diagnostics, graph, members, positions, revisions, transform
+from tessera.protocol import COMMANDS, SINGLE
+from tessera.sources import catalyst
 from tessera.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -465,3 +467,32 @@ def revision_as_of(t: Tables) -> DataFrame:
   round(quantile_cont(value, 0.5), 3) AS p50, round(quantile_cont(value, 0.95), 3) AS p95 FROM events GROUP BY event_type""")
 def bench_percentiles(t: Tables) -> DataFrame:
     return stats.timing_summary(t.events, "event_type", F.col("value"))
+
+
+# What the analyser and the commands' table say: no SQL gives these rows
+
+
+@query()
+def eval_schema(t: Tables) -> DataFrame:
+    names = ("part", "orders", "lineitem", "embeddings")
+    return catalyst.catalog_members(t.spark, {n: getattr(t, n) for n in names})
+
+
+@query()
+def snippet_check(t: Tables) -> DataFrame:
+    codes = ["SELECT 1", "SELECT a FROM", "SELECT\n  missing_column\nFROM VALUES (1) AS t(x)"]
+    rows = [(i, *d) for i, c in enumerate(codes) for d in catalyst.check_snippet(t.spark, c)]
+    return t.spark.createDataFrame(rows, f"snippet int, {catalyst.DIAGNOSTIC}")
+
+
+@query()
+def capabilities(t: Tables) -> DataFrame:
+    rows = [(c, f, k.rstrip("?"), k.endswith("?"), c not in SINGLE) for c, fields in COMMANDS.items() for f, k in fields.items()]
+    return t.spark.createDataFrame(rows, "command string, field string, kind string, optional boolean, batch boolean")
+
+
+@query()
+def doctor(t: Tables) -> DataFrame:
+    names = ("part", "orders", "lineitem", "events", "documents")
+    rows = [("spark", t.spark.version)] + [(f"table {n}", f"{len(getattr(t, n).columns)} columns") for n in names]
+    return t.spark.createDataFrame(rows, "item string, value string")
