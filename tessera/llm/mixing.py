@@ -146,11 +146,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block
     remainder. Texts are shuffled once, by key.
     """
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    plan = mix(docs, weights, block, seed).where("size > 0").select("row_key", copies.alias("copies"))
-    plan = plan.groupBy("row_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
-    key, nth = "__row_key", F.row_number().over(Window.partitionBy("__row_key").orderBy("__row_key"))
-    keyed = docs.withColumn(key, row_key())
-    kept = keyed.join(plan.withColumnRenamed("row_key", key), key).withColumn("__nth", nth)
-    own = F.expr("copies div rows + if(__nth <= copies % rows, 1, 0)")
+    plan = mix(docs, weights, block, seed).where("size > 0").select(F.col("row_key").alias("__row_key"), copies.alias("copies"))
+    plan = plan.groupBy("__row_key").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
+    nth = F.row_number().over(Window.partitionBy("__row_key").orderBy("__row_key"))
+    kept = docs.withColumn("__row_key", row_key()).join(plan, "__row_key").withColumn("__nth", nth)
+    own = F.expr("__copies div __rows + if(__nth <= __copies % __rows, 1, 0)")
     kept = kept.withColumn("__own", own.cast("int")).where("__own > 0")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__own"))).alias("__copy")).drop("__copy")
