@@ -8,61 +8,117 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from tessera.llm.common import attach, cut
 from tessera.llm.repair import Grammar, compress
 
-#: Bytes of text of a shard, ids of a segment, and words that a cache holds.
-SHARD_BYTES, SEGMENT_IDS, CACHED_WORDS = 16 << 20, 1 << 20, 400_000
+#: Bytes of text of a shard, and ids of a segment.
+SHARD_BYTES, SEGMENT_IDS = 16 << 20, 1 << 20
 END = 1
+#: Words of letters that are encoded as one text, the mark of a word's end in
+#: the vocabulary, and marks of which the tokenizer makes one match at a word's end.
+JOINED, WORD_END, MARKS = 1000, "</w>", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 PARTS = ("sequence", "left", "right", "lengths")
 
 
+def gathered(ids: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The parts of `ids` with these begins and lengths, end to end."""
+    after = np.cumsum(lengths)
+    return ids[np.repeat(begins - (after - lengths), lengths) + np.arange(after[-1] if len(after) else 0)]
+
+
+class Lists:
+    """Numbered lists that lie end to end in `ids`."""
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray):
+        self.ids, self.lengths, self.begins = ids, lengths, np.cumsum(lengths) - lengths
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists with the numbers `at`, end to end, and how long each is."""
+        lengths = self.lengths[at]
+        return gathered(self.ids, self.begins[at], lengths), lengths
+
+
 class WordEncoder:
     """Ids of texts, by the ids of their words between ASCII white space.
 
     The tokenizer's patterns never match across white space, and neither its
     normal form nor its lower case reaches across it. So a text's ids are its
-    words' ids in turn, and each distinct word is encoded once.
+    words' ids in turn, and each distinct word of a batch is encoded once.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [x.ids for x in found]
-        self.known |= {w: len(self.known) + k for k, w in enumerate(words)}
-        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids]))
-        self.ids = np.append(self.ids, np.array([x for y in ids for x in y], np.uint32))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, without end ids, and how many each has."""
-        words = [t.encode("utf-8", "replace").split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.clear()
-        if new := list({w for ws in words for w in ws if w not in self.known}):
-            self.learn(new)
-        get, sizes = self.known.__getitem__, [len(ws) for ws in words]
-        at = np.fromiter((get(w) for ws in words for w in ws), np.int64, sum(sizes))
-        begins, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
-        before = np.append(0, np.cumsum(lengths))
-        ids = self.ids[np.repeat(begins - before[:-1], lengths) + np.arange(before[-1])]
-        ends = np.cumsum(sizes)
+        #: For ASCII letters in lower case, which have their normal form and stand for their own bytes.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_last[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
+
+    def lists(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of short texts, end to end, and how many each has.
+
+        Words of letters are encoded many at a time with spaces between them.
+        Each is one match of the tokenizer's pattern, and so has one id that
+        ends a word. If there are more such ids than words, a letter's normal
+        or lower form wasn't one letter, and the words are encoded singly.
+        """
+        if all(map(str.isalpha, texts)):
+            tokenizer = self.plain if all(map(str.isascii, texts)) else self.tokenizer
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.is_last[ids]) + 1
+            if len(ends) == len(texts) and ends[-1] == len(ids):
+                return ids, np.diff(ends, prepend=0)
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+
+    def encoded(self, words: pa.Array) -> Lists:
+        """The ids of distinct words. Those of ASCII letters, those of other
+        letters, and the rest are encoded apart."""
+        letters, ascii_ = (f(words).to_numpy(zero_copy_only=False) for f in (pc.utf8_is_alpha, pc.string_is_ascii))
+        kinds = np.where(letters, np.where(ascii_, 0, 1), 2)
+        parts, order = [], np.argsort(kinds, kind="stable")
+        for kind in range(3):
+            some = words.filter(pa.array(kinds == kind))
+            parts += [self.lists(some.slice(k, JOINED).to_numpy(zero_copy_only=False).tolist()) for k in range(0, len(some), JOINED)]
+        found = Lists(*map(np.concatenate, zip(*parts, strict=True)))
+        return Lists(*found.of(np.argsort(order)))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, without end ids, and how many each has.
+
+        A word of letters with marks behind it has the ids of the letters (in
+        lower case, if ASCII) and those of the marks, each of which is a match
+        of the tokenizer's pattern; other words are taken whole.
+        """
+        split = pc.ascii_split_whitespace(texts)
+        sizes, every = pc.list_value_length(split).to_numpy(zero_copy_only=False), split.flatten().dictionary_encode()
+        words = every.dictionary
+        cores = pc.utf8_rtrim(words, MARKS)
+        simple = pc.utf8_is_alpha(cores)
+        lower = pc.if_else(pc.string_is_ascii(cores), pc.ascii_lower(cores), cores)
+        marked = pc.and_(simple, pc.not_equal(cores, words))
+        marks = [w[len(c) :] for w, c in zip(*(x.filter(marked).to_numpy(zero_copy_only=False) for x in (words, cores)), strict=True)]
+        # the parts of all words: cores, one empty text, and marks
+        parts = pa.concat_arrays([pc.if_else(simple, lower, words), pa.array(["", *marks], pa.string())]).dictionary_encode()
+        second = np.full(len(words), len(words))
+        second[marked.to_numpy(zero_copy_only=False)] += 1 + np.arange(len(marks))
+        two = parts.indices.to_numpy()[np.column_stack([np.arange(len(words)), second])]
+        ids, lengths = self.encoded(parts.dictionary).of(two.ravel())
+        ids, lengths = Lists(ids, lengths.reshape(-1, 2).sum(1)).of(every.indices.to_numpy())
+        before, ends = np.append(0, np.cumsum(lengths)), np.cumsum(sizes)
         return ids, before[ends] - before[ends - sizes]
 
 
@@ -79,9 +135,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, shard_bytes: int = SHARD_B
     """Writes the ids of all texts, each with the end id behind it, in ascending doc_id order.
 
     Documents are dealt by ranges of doc_id into shards of about `shard_bytes`
-    of text. A task encodes its shard, cuts it at document ends into segments
-    of at least `segment_ids` ids, and compresses each by Re-Pair; it holds one
-    segment at a time. A row of the files is a segment: shard, segment, n_ids,
+    of text. A task encodes its shard by batches, cuts it at document ends into
+    segments of at least `segment_ids` ids, and compresses each by Re-Pair; it
+    holds one batch and one segment at a time. A row of the files is a segment: shard, segment, n_ids,
     doc_ids and counts of its documents, and the grammar's sequence, left and
     right symbols of its rules, and the rules' expansion lengths, as
     little-endian unsigned 32-bit integers.
@@ -106,13 +162,16 @@ def write(docs: DataFrame, tokenizer: str, path: str, shard_bytes: int = SHARD_B
             return pa.RecordBatch.from_arrays(columns, schema.names)
 
         for b in batches:
-            for k in range(0, len(b), 512):
-                part = b.slice(k, 512)
-                some, n = words.encode(part.column(1).to_pylist())
-                ids.append(with_ends(some, n))
-                counts.append(n + 1)
-                names.append(part.column(0))
-                held += len(ids[-1])
+            some, n = words.encode(b.column(1))
+            all_ids, sizes = with_ends(some, n), n + 1
+            ends, begin = np.cumsum(sizes), 0
+            while begin < len(b):
+                done = ends[begin] - sizes[begin]
+                stop = min(int(np.searchsorted(ends, done + segment_ids - held)) + 1, len(b))
+                ids.append(all_ids[done : ends[stop - 1]])
+                counts.append(sizes[begin:stop])
+                names.append(b.column(0).slice(begin, stop - begin))
+                held, begin = held + len(ids[-1]), stop
                 if held >= segment_ids:
                     yield spill()
                     ids, counts, names, held, segment = [], [], [], 0, segment + 1
@@ -136,11 +195,11 @@ def read(spark: SparkSession, path: str, kind: T.DataType = T.LongType()) -> Dat
         for b in batches:
             for row in b.to_pylist():
                 g = Grammar(*[np.frombuffer(row[p], "<u4").astype(np.uint32) for p in PARTS])
-                ids, counts = g.decode(), np.array(row["counts"], np.int64)
-                ends = np.cumsum(counts)
-                raw = [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(ends, counts, strict=True)]
-                n = len(counts)
-                columns = [pa.array([row["shard"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int32()), pa.array(ends - counts, pa.int64()), pa.array(raw, pa.binary())]
+                ids, counts = g.decode().astype("<u4"), np.array(row["counts"], np.int64)
+                ends, n = np.cumsum(counts), len(counts)
+                offsets = np.append(0, 4 * ends).astype(np.int64)
+                raw = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
+                columns = [pa.array([row["shard"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int32()), pa.array(ends - counts, pa.int64()), raw]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(row["doc_ids"], b.schema.field("doc_ids").type.value_type)], schema.names)
 
     segments = files.select("shard", "segment", "n_ids")
