@@ -47,8 +47,8 @@ def test_quality_rules(spark, edges, none):
     kept = quality_rules.kept_documents(edges)
     assert kept.columns == edges.columns and kept.count() == got.where("kept").count() > 0
     assert quality_rules.measure(none).count() == 0
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan
+    plan = quality_rules.measure(spark.read.parquet(DOCS))._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "Exchange" not in plan and "Python" not in plan
 
 
 @settings(max_examples=25, deadline=None)
