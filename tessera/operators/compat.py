@@ -5,9 +5,36 @@ Members have type_id, name and the text of their type.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import spaceless
+
+
+def text_fits(source: Column, target: Column) -> Column:
+    """Whether a type's text fits another's, as far as texts can tell: every member
+    of the one union is a member of the other, or a literal of one. Arrays fit
+    as their elements do. Anything else doesn't fit, and isn't guessed."""
+
+    def bare(t: Column) -> Column:
+        t = F.regexp_replace(spaceless(t), "^readonly", "")
+        return F.regexp_replace(t, r"^(?:Readonly)?Array<(.*)>$|^\((.*)\)\[\]$|^([^|]*)\[\]$", "$1$2$3[]")
+
+    def element(t: Column) -> Column:
+        return F.regexp_replace(t, r"\[\]$", "")
+
+    def parts(t: Column) -> Column:
+        return F.filter(F.split(element(t), r"\|"), lambda x: x != "")
+
+    def general(x: Column) -> Column:
+        literal = F.when(x.rlike("^['\"`]"), "string").when(x.rlike(r"^-?[0-9]"), "number").when(x.isin("true", "false"), "boolean")
+        return F.coalesce(literal, x)
+
+    a, b = bare(source), bare(target)
+    wide = parts(b)
+    each = F.forall(parts(a), lambda x: F.array_contains(wide, x) | F.array_contains(wide, general(x)))
+    return b.isin("any", "unknown") | (a == b) | ((a.endswith("[]") == b.endswith("[]")) & each)
+
 
 def missing(source: DataFrame, target: DataFrame, pairs: DataFrame) -> DataFrame:
     """Members that the target needs and the source lacks, for pairs (from, to)."""

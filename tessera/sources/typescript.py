@@ -7,6 +7,8 @@ is reported with status `unsupported`, and its members aren't guessed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ BODY = rf"(?:interface|type)\s+({NAME})[^{{}};=]*=?\s*\{{([^{{}}]*)\}}"
 NESTED = rf"(?:interface|type)\s+({NAME})[^{{}};=]*=?\s*\{{[^{{}}]*\{{"
 EXTENDS = rf"(?:interface|class)\s+({NAME})[^{{}}]*?\bextends\s+({NAME})"
 MEMBER = rf"^\s*(readonly\s+)?({NAME})(\?)?\s*:\s*(.+?)\s*$"
+COMMENT = r"(/\*\*(?:[^*]|\*(?!/))*\*/\s*)?"
+FUNCTION = rf"{COMMENT}\b(export\s+)?(?:default\s+)?(?:async\s+)?function\s+({NAME})\s*(?:<[^>()]*>)?\(([^()]*)\)\s*:\s*([^{{;]+?)\s*[{{;]"
+ARROW = rf"{COMMENT}\b(export\s+)?const\s+({NAME})\s*=\s*(?:async\s*)?(?:<[^>()]*>\s*)?\(([^()]*)\)\s*:\s*([^={{;]+?)\s*=>"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -54,6 +59,56 @@ def unsupported(files: DataFrame) -> DataFrame:
     return found.withColumn("status", F.lit("unsupported"))
 
 
+def callables(files: DataFrame) -> DataFrame:
+    """file, callable, ord, name, params (types), returns, exported, deprecated, is_function.
+
+    Functions and arrow constants whose parameters and return have types of
+    their own; each signature of an overload is a row of the same callable. One
+    whose return isn't stated is left out, and not inferred.
+    """
+    parts = []
+    for order, (pattern, is_function) in enumerate(((FUNCTION, True), (ARROW, False))):
+        whole = files.select("file", F.posexplode(F.expr(f"regexp_extract_all(text, r'{pattern}', 0)")).alias("n", "whole"))
+
+        def group(n: int, pattern: str = pattern):
+            return F.regexp_extract("whole", pattern, n)
+
+        given = F.filter(F.split(group(4), ","), lambda p: F.trim(p) != "")
+        kinds = F.transform(given, lambda p: F.trim(F.regexp_replace(F.regexp_extract(p, r":([^=]*)", 1), r"\s+", " ")))
+        parts.append(
+            whole.select(
+                "file", F.concat_ws("#", "file", group(3)).alias("callable"), (2 * F.col("n") + order).cast("long").alias("ord"), group(3).alias("name"), kinds.alias("params"),
+                F.trim(group(5)).alias("returns"), (group(2) != "").alias("exported"), group(1).contains("@deprecated").alias("deprecated"), F.lit(is_function).alias("is_function"),
+            )
+        )
+    return parts[0].union(parts[1])
+
+
+def edges(files: DataFrame) -> DataFrame:
+    """src, dst, context: from types to the declared types that their members, bases and signatures name."""
+    declared = declarations(files).select(F.col("name").alias("dst")).distinct()
+    parts = [
+        members(files).select(F.col("type_name").alias("src"), F.col("type").alias("text"), F.lit("type").alias("context")),
+        bases(files).select(F.col("type_name").alias("src"), F.col("base").alias("text"), F.lit("extends").alias("context")),
+        callables(files).select(F.col("name").alias("src"), F.explode("params").alias("text"), F.lit("parameter").alias("context")),
+        callables(files).select(F.col("name").alias("src"), F.col("returns").alias("text"), F.lit("return").alias("context")),
+    ]
+    named = reduce(DataFrame.union, parts).select("src", F.explode(F.expr(f"regexp_extract_all(text, r'{NAME}', 0)")).alias("dst"), "context")
+    return named.where("src <> dst").join(declared, "dst", "left_semi").select("src", "dst", "context").distinct()
+
+
+def diagnostics(files: DataFrame) -> DataFrame:
+    """file, ord, line, code, message of what the subset can tell: a name declared
+    twice in a file, and a base that no file declares."""
+    found = declarations(files)
+    twice = found.where("kind not in ('function', 'interface')").groupBy("file", "name").agg(F.count("*").alias("n"), F.max("line").alias("line")).where("n > 1")
+    twice = twice.select("file", "line", F.lit(2300).cast("long").alias("code"), F.concat(F.lit("Duplicate identifier '"), "name", F.lit("'")).alias("message"))
+    unknown = bases(files).join(found.select(F.col("name").alias("base")).distinct(), "base", "left_anti")
+    at = found.select("file", F.col("name").alias("type_name"), "line")
+    unknown = unknown.join(at, ["file", "type_name"]).select("file", "line", F.lit(2304).cast("long").alias("code"), F.concat(F.lit("Cannot find name '"), "base", F.lit("'")).alias("message"))
+    return twice.union(unknown).withColumn("ord", F.col("line"))
+
+
 def bases(files: DataFrame) -> DataFrame:
     """file, type_name, base: the first type that an interface or class extends."""
     found = files.select("file", F.explode(F.expr(f"regexp_extract_all(text, r'{EXTENDS}', 0)")).alias("whole"))
