@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark import Broadcast
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, written
 
 #: Buckets of the literal rank map, of a few entries each.
 RANK_BUCKETS = 16_384
@@ -27,8 +28,8 @@ RANK_BUCKETS = 16_384
 SHORT = 64
 #: Most entries of the dictionary of frequent words; others are folded where they occur.
 DICTIONARY = 1 << 19
-#: Characters of text in a block of documents, and words that a counter holds.
-BLOCK_CHARS, COUNTED_WORDS = 4 << 20, 400_000
+#: Bytes of text in a block of documents, and words that a counter holds.
+BLOCK_CHARS, COUNTED_WORDS = 2 << 20, 200_000
 
 #: Bytes are held as the characters of the same number; these two stand around a part.
 OPEN, SHUT = "Ā", "ā"
@@ -165,6 +166,74 @@ def splitter(pattern: str) -> regex.Pattern:
     return regex.compile("".join(out))
 
 
+#: Marks of which `pattern` makes one word at the end of letters (an apostrophe may
+#: begin another), and words of Latin letters.
+MARKS, LETTERS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "^[A-Za-zÀ-ÖØ-öø-ɏ]+$"
+#: A space that another one, or an end of the text, is beside.
+ODD_SPACE = f"(?:^|[{SPACES}\\x1C-\\x1F]) | (?:$|[{SPACES}\\x1C-\\x1F])"
+
+
+def split_texts(texts: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of texts, the numbers of all texts' words end to end, and how many each has.
+
+    Where a single space stands between other characters, `pattern` always
+    begins a word with it. So a text is cut there first. A part of Latin letters
+    with marks behind them has two words, the letters and the marks; `pattern`
+    splits each other distinct part once. Texts with other spaces are one part
+    each.
+    """
+    odd = pc.match_substring_regex(texts, re.sub(r"\\u(....)", r"\\x{\1}", ODD_SPACE)).to_numpy(zero_copy_only=False)
+    cuts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    parts = pa.concat_arrays([cuts.flatten(), texts.filter(pa.array(odd))]).dictionary_encode()
+    sizes = np.append(pc.list_value_length(cuts).to_numpy(zero_copy_only=False), np.ones(odd.sum(), np.int64)).astype(np.int64)
+    at = 2 * parts.indices.to_numpy().astype(np.int64)
+    at[np.cumsum(sizes) - sizes] += 1  # a part that begins a text has no space before it
+    used, at = np.unique(at, return_inverse=True)
+    spelled, first = parts.dictionary.take(pa.array(used >> 1)), pa.array(used & 1 == 1)
+    cores = pc.utf8_rtrim(spelled, MARKS)
+    simple = pc.match_substring_regex(cores, LETTERS)
+    marked = pc.and_(simple, pc.not_equal(cores, spelled))
+    simple_, marked_ = simple.to_numpy(zero_copy_only=False), marked.to_numpy(zero_copy_only=False)
+    spaced = pc.if_else(first, "", " ")
+    leads = pc.binary_join_element_wise(spaced, cores, "").filter(simple)
+    marks = [w[len(c) :] for w, c in zip(*(x.filter(marked).to_numpy(zero_copy_only=False) for x in (spelled, cores)), strict=True)]
+    others = [*map(splitter(pattern).findall, pc.binary_join_element_wise(spaced, spelled, "").filter(pc.invert(simple)).to_numpy(zero_copy_only=False))]
+    words = pa.concat_arrays([leads, pa.array(marks, pa.string()), pa.array([w for ws in others for w in ws], pa.string())]).dictionary_encode()
+    lengths = 1 + marked_.astype(np.int64)
+    lengths[~simple_] = k = np.array([len(ws) for ws in others], np.int64)
+    begins, number = np.cumsum(lengths) - lengths, words.indices.to_numpy()
+    flat = np.empty(lengths.sum(), np.int64)
+    flat[begins[simple_]] = number[: len(leads)]
+    flat[begins[marked_] + 1] = number[len(leads) : len(leads) + len(marks)]
+    flat[np.repeat(begins[~simple_] - (np.cumsum(k) - k), k) + np.arange(k.sum())] = number[len(leads) + len(marks) :]
+    codes = gathered(flat, begins, lengths, at)
+    ends = np.cumsum(sizes)
+    totals = np.append(0, np.cumsum(lengths[at]))
+    sizes = totals[ends] - totals[ends - sizes]
+    # back into the order of the texts
+    order = np.argsort(np.append(np.flatnonzero(~odd), np.flatnonzero(odd)))
+    return words.dictionary, gathered(codes, np.cumsum(sizes) - sizes, sizes, order), sizes[order]
+
+
+def gathered(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The lists with the numbers `at` end to end, of those with these begins and lengths in `values`."""
+    n = lengths[at]
+    after = np.cumsum(n)
+    return values[np.repeat(begins[at] - (after - n), n) + np.arange(after[-1] if len(after) else 0)]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about BLOCK_CHARS bytes of a text column, and of a row at least."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(b):
+            before = ends[begin - 1] if begin else 0
+            stop = max(int(np.searchsorted(ends, before + BLOCK_CHARS)), begin + 1)
+            yield b.slice(begin, stop - begin)
+            begin = stop
+
+
 def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     """word (its bytes as characters) and n over all texts; tasks hand on what they have counted."""
 
@@ -175,12 +244,12 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = splitter(pattern).findall, Counter()
-        for b in batches:
-            for x in b.column(0):
-                counts.update(split(x.as_py()))
-                if len(counts) > COUNTED_WORDS:
-                    yield spill(counts)
+        counts: Counter = Counter()
+        for b in slices(batches, 0):
+            words, codes, _ = split_texts(b.column(0), pattern)
+            counts.update(dict(zip(words.to_numpy(zero_copy_only=False), np.bincount(codes, minlength=len(words)).tolist(), strict=True)))
+            if len(counts) > COUNTED_WORDS:
+                yield spill(counts)
         yield spill(counts)
 
     return docs.where("text is not null").select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -203,25 +272,25 @@ def frequent(counts: DataFrame, most: int = DICTIONARY) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY) -> pa.Table:
-    """word and ids of the frequent words, of at most `most` rows, folded by tasks."""
+    """word (as texts have it) and ids of the frequent words, of at most `most` rows, folded by tasks."""
     spark = docs.sparkSession
     words = frequent(cut(word_counts(docs, pattern)), most).select("word").repartition(4 * spark.sparkContext.defaultParallelism)
-    return words.select("word", F.element_at(fold(F.array("word"), rank_map(ranks)), 1).alias("ids")).toArrow()
+    found = words.select("word", F.element_at(fold(F.array("word"), rank_map(ranks)), 1).alias("ids")).toArrow()
+    spelled = [pa.array([w.encode("latin-1") for w in c.to_pylist()], pa.binary()).cast(pa.string()) for c in found["word"].chunks]
+    return found.set_column(0, "word", pa.chunked_array(spelled, pa.string()))
 
 
 class Lookup:
-    """Ids of the dictionary's words, end to end, and the place of each word."""
+    """The dictionary's words, and their ids end to end."""
 
     def __init__(self, known: pa.Table):
-        known = known.combine_chunks()
-        words, ids = known["word"].to_pylist(), known["ids"].combine_chunks()
-        self.at = {w.encode("latin-1").decode("utf-8", "replace"): i for i, w in enumerate(words)}
-        self.ids, self.ends = flattened(ids)
+        self.words = known["word"].combine_chunks()
+        self.ids, self.ends = flattened(known["ids"].combine_chunks())
 
 
 def flattened(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), np.append(0, np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)))
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)))
 
 
 #: The dictionary that this worker read last, by its name.
@@ -243,15 +312,17 @@ def shared_table(spark: SparkSession, known: pa.Table) -> Broadcast:
     return spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
 
-def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY) -> DataFrame:
-    """doc_id and ids (packed as little-endian unsigned 32-bit integers) of every whole text.
+def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (packed as little-endian unsigned 32-bit integers) of every
+    whole text; if `decoded`, also what `decode` adds, in the same Python workers.
 
     `path` is a file of ranks, `pattern` splits texts into words. Words are
     counted over all documents, and the most frequent, at most `most`, are
     folded once and broadcast as a dictionary. Then documents are looked up in
     blocks of about BLOCK_CHARS characters; the distinct words of a block that
-    the dictionary lacks are folded in the block's row. All that is narrow: no
-    text is shuffled, and every word has its ids by the same fold.
+    the dictionary lacks are written with it and folded in the block's row. All
+    that is narrow: no text is shuffled, and every word has its ids by the same
+    fold.
 
     Defined results: a null or empty text has no ids; repeated rows get the
     same ids; an empty table gives no rows; other columns are not read.
@@ -263,30 +334,17 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY) ->
     encoded = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType())])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, split = loaded(name, known).at, splitter(pattern).findall
-        codes, sizes, doc_ids, rare, held = [], [], [], {}, 0
-
-        def spill() -> pa.RecordBatch:
-            names = pa.concat_arrays(doc_ids)
-            columns = [pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()), pa.array([np.concatenate(codes).tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([[as_characters(w.encode("utf-8", "replace")) for w in rare]], pa.list_(pa.string()))], blocks.names)
-
-        for b in batches:
-            for k in range(len(b)):
-                text = b.column(1)[k].as_py()
-                words = split(text)
-                found = list(map(at.get, words))
-                if None in found:
-                    found = [-1 - rare.setdefault(w, len(rare)) if c is None else c for c, w in zip(found, words, strict=True)]
-                codes.append(np.array(found, np.int32))
-                sizes.append(len(words))
-                doc_ids.append(b.column(0).slice(k, 1))
-                held += len(text)
-                if held >= BLOCK_CHARS:
-                    yield spill()
-                    codes, sizes, doc_ids, rare, held = [], [], [], {}, 0
-        if sizes:
-            yield spill()
+        frequent_ = loaded(name, known).words
+        for b in slices(batches, 1):
+            words, codes, sizes = split_texts(b.column(1), pattern)
+            found = pc.fill_null(pc.index_in(words, value_set=frequent_), -1).to_numpy()
+            is_rare = found < 0
+            places = np.where(is_rare, -np.cumsum(is_rare), found).astype(np.int32)
+            rare = words.filter(pa.array(is_rare)).to_pylist()
+            packed = [pa.array([x.tobytes()], pa.binary()) for x in (sizes.astype(np.int64), places[codes])]
+            doc_ids = pa.ListArray.from_arrays(pa.array([0, len(b)], pa.int32()), b.column(0))
+            spelled = pa.array([[as_characters(w.encode("utf-8", "replace")) for w in rare]], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([doc_ids, *packed, spelled], blocks.names)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(name, known)
@@ -306,22 +364,30 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY) ->
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(packed, pa.binary())], encoded.names)
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(look_up, blocks)
+    # written, so that a task has one Python worker at a time
+    rows = written(rows, "bpe-blocks", "zstd")
     rows = rows.select("doc_ids", "sizes", "codes", fold(F.col("rare"), rank_map(ranks)).alias("rare"))
+    if decoded:
+        return rows.mapInArrow(lambda batches: decoded_batches(assemble(batches), path), with_decoded(encoded))
     return rows.mapInArrow(assemble, encoded)
 
 
+def with_decoded(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema, T.StructField("decoded", T.BinaryType())])
+
+
+def decoded_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    piece = {i: b for b, i in ranks_of(path).items()}.__getitem__
+    for b in batches:
+        texts = [b"".join(map(piece, np.frombuffer(x.as_py(), "<u4").tolist())) for x in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], [*b.schema.names[:2], "decoded"])
+
+
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """`rows` (doc_id, ids as `encode` packs them) with `decoded`, the bytes: the
     pieces of all ids, concatenated. An id that the file lacks is an error."""
-    schema = T.StructType([*rows.select("doc_id", "ids").schema, T.StructField("decoded", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = {i: b for b, i in ranks_of(path).items()}.__getitem__
-        for b in batches:
-            texts = [b"".join(map(piece, np.frombuffer(x.as_py(), "<u4").tolist())) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], schema.names)
-
-    return rows.select("doc_id", "ids").mapInArrow(run, schema)
+    rows = rows.select("doc_id", "ids")
+    return rows.mapInArrow(lambda batches: decoded_batches(batches, path), with_decoded(rows.schema))
 
 
 def digest(rows: DataFrame) -> DataFrame:

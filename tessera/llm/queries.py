@@ -56,8 +56,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return byte_bpe.digest(byte_bpe.decode(rows, path))
+    return byte_bpe.digest(byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True))
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

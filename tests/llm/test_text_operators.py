@@ -143,6 +143,8 @@ def test_byte_bpe(spark, edges, none):
         got = byte_bpe.decode(byte_bpe.encode(edges, path, public_tokenizers.PATTERN, most), path)
         want = Counter((r[0], tuple(enc.encode_ordinary(r[1] or "")), (r[1] or "").encode()) for r in edge_rows())
         assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist()), bytes(r.decoded)) for r in got.collect()) == want
+    both = byte_bpe.encode(edges, path, public_tokenizers.PATTERN, 20, decoded=True)
+    assert as_rows(both) == as_rows(got)
     digest = byte_bpe.digest(got).where("doc_id = 109").first()
     assert digest.decoded_sha256 == hashlib.sha256([r[1] for r in edge_rows() if r[0] == 109][0].encode()).hexdigest()
     assert byte_bpe.encode(none, path, public_tokenizers.PATTERN).count() == 0
