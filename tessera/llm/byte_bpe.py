@@ -8,7 +8,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -272,21 +272,29 @@ def frequent(counts: DataFrame, most: int = DICTIONARY) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY) -> pa.Table:
-    """word (as texts have it) and ids of the frequent words, of at most `most` rows, folded by tasks."""
+    """word (its bytes as characters) and ids of the frequent words, of at most `most` rows, folded by tasks."""
     spark = docs.sparkSession
     words = frequent(cut(word_counts(docs, pattern)), most).select("word").repartition(4 * spark.sparkContext.defaultParallelism)
-    found = words.select("word", F.element_at(fold(F.array("word"), rank_map(ranks)), 1).alias("ids")).toArrow()
-    spelled = [pa.array([w.encode("latin-1") for w in c.to_pylist()], pa.binary()).cast(pa.string()) for c in found["word"].chunks]
-    return found.set_column(0, "word", pa.chunked_array(spelled, pa.string()))
+    return words.select("word", F.element_at(fold(F.array("word"), rank_map(ranks)), 1).alias("ids")).toArrow()
 
 
 class Lookup:
     """The dictionary's words, and their ids end to end."""
 
     def __init__(self, known: pa.Table):
-        self.words = known["word"].combine_chunks()
+        self.spelled = known["word"]
         self.ids, self.ends = flattened(known["ids"].combine_chunks())
 
+    @cached_property
+    def words(self) -> pa.Array:
+        """The words as texts have them; only workers that look words up make them."""
+        parts = [pa.array([], pa.string())]
+        for chunk in self.spelled.iterchunks():
+            for k in range(0, len(chunk), 4096):
+                some = chunk.slice(k, 4096).to_pylist()
+                parts.append(pa.array([w.encode("latin-1") for w in some], pa.binary()).cast(pa.string()))
+        return pa.concat_arrays(parts)
+
 
 def flattened(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists

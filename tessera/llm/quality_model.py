@@ -145,7 +145,9 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Machine:
     rows = docs.select("doc_id", "text", F.col("n_chars").cast("long")).join(F.broadcast(some), "doc_id")
     got = rows.mapInArrow(run, "doc_id long, at array<int>, x array<float>, quality int").toArrow()
     got = got.take(pa.compute.sort_indices(got, [("doc_id", "ascending")])) if len(got) else got
-    made = [(np.array(a, np.int64), np.array(x, np.float64)) for a, x in zip(got["at"].to_pylist(), got["x"].to_pylist(), strict=True)]
+    ends = np.cumsum(pa.compute.list_value_length(got["at"]).to_numpy())[:-1]
+    at, x = (np.split(got[c].combine_chunks().flatten().to_numpy().astype(t), ends) for c, t in (("at", np.int64), ("x", np.float64)))
+    made = list(zip(at, x, strict=True)) if len(got) else []
     return fit(made[: 2 * most], np.array(got["quality"].to_pylist()[: 2 * most], np.float64))
 
 
