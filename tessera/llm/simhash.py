@@ -10,7 +10,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tessera.llm.common import cut
 from tessera.llm.components import components
@@ -25,11 +24,11 @@ CELL_ROWS = 24
 COUNTED = 1 << 16
 
 
-def fingerprint(text: str | None, width: int, seed: int) -> int:
-    """SimHash of a text: a bit is 1 if it is set in over half of the shingles' hashes."""
+def shingle_hashes(text: str | None, width: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles of `width` words, up to COUNTED at a time; none of a blank text."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
@@ -37,24 +36,32 @@ def fingerprint(text: str | None, width: int, seed: int) -> int:
     k = min(width, len(words))
     ends = ends[k - 1 :].tolist()
     starts = starts[: len(ends)].tolist()
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(ends), COUNTED):
         part = zip(starts[at : at + COUNTED], ends[at : at + COUNTED], strict=True)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in part], np.uint64)
+        yield np.array([digest(joined[a:b], seed) for a, b in part], np.uint64)
+
+
+def fingerprint(text: str | None, width: int, seed: int) -> int:
+    """SimHash of a text: a bit is 1 if it is set in over half of the shingles' hashes."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, width, seed):
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(ends), bitorder="little").tobytes(), "little", signed=True)
+        n += len(hashes)
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little", signed=True)
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and its text's fingerprint as a signed long; every task works on its own rows."""
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, others: list[str] | None = None) -> DataFrame:
+    """doc_id, its text's fingerprint as a signed long, and other columns; every task works on its own rows."""
+    kept = ["doc_id", *(others or [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [fingerprint(x.as_py(), width, seed) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64())], ["doc_id", "print"])
+            prints = [fingerprint(x.as_py(), width, seed) for x in b.column(len(kept))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(prints, pa.int64())], [*kept, "print"])
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("print", T.LongType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("print", T.LongType())])
+    return docs.select(*kept, "text").mapInArrow(run, schema)
 
 
 def segment_count(x: Column, i: int) -> Column:
@@ -126,6 +133,41 @@ def links(prints: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and key: a hash of the text, one of its own for null."""
+    return docs.select("doc_id", text_key().alias("key"), "text")
+
+
+def text_key() -> Column:
+    return F.coalesce(F.md5("text"), F.lit("?"))
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """`rows`, which have a fingerprint in column `print`, with the root of their class."""
+    prints = cut(rows.select("print").distinct())
+    roots = components(links(prints)).withColumnRenamed("node", "print")
+    named = prints.join(roots, "print", "left").select("print", F.coalesce("root", "print").alias("root"))
+    return rows.join(named, "print")
+
+
+def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of each class the row of `docs` with the least doc_id, null last, then the
+    least hash of its text; of equal ids and texts, the least by its columns.
+
+    `rows` has doc_id, key (see `row_keys`) and root, the class. Rows with one
+    id and text are reduced to one in the tasks that read them, before the
+    shuffle; a null or repeated doc_id brings no rows together besides those.
+    """
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("__null"), F.col("doc_id").alias("__id"), F.col("key").alias("__key"))).alias("one"))
+    keys = ["__null", "__id", "__key"]
+    none = F.lit(-1)
+    least = least.select(F.col("one.__null"), F.coalesce("one.__id", none).alias("__id"), F.col("one.__key"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(F.col("doc_id").isNull().alias("__null"), F.coalesce("doc_id", none).alias("__id"), text_key().alias("__key"), row.alias("__row"))
+    single = marked.groupBy(*keys).agg(F.min("__row").alias("__row"))
+    return single.join(least.hint("merge"), keys, "left_semi").select("__row.*")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """Each document with its fingerprint and the class of near duplicates it is in.
 
@@ -154,14 +196,6 @@ def hexadecimal(fingerprint: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """`docs` without the rows whose class holds a document of smaller doc_id; of
-    rows with that same doc_id the one least by text, then any, stays.
-
-    Returns the columns of `docs`.
-    """
-    rows = near_duplicates(docs, width, seed).groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
-    kept = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("doc_id").isNull().alias("__null")).distinct()
-    marked = docs.withColumn("__id", F.coalesce("doc_id", F.lit(-1))).withColumn("__null", F.col("doc_id").isNull())
-    kept = marked.join(kept, ["__id", "__null"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__id", "__null").orderBy("text"))
-    return kept.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """`docs` with one row of each class of near duplicates (see `keep_one`)."""
+    rows = cut(fingerprints(row_keys(docs), width, seed, ["key"]))
+    return keep_one(docs, classes(rows))
