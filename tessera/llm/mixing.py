@@ -137,19 +137,56 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOC
     return out.select("row_key", "doc_id", "source", "size", "source_size", "target", F.coalesce("part", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK_WORDS, seed: int = 11) -> DataFrame:
-    """`docs` as the mix has them, with the same columns: each row is repeated
-    as often as the mix takes its words, rounded to whole documents with halves
-    up; rows that come to less than half are left out.
+#: Parts of a document that fractions are counted in.
+UNIT = 1 << 30
+
+
+def whole_copies(rows: DataFrame) -> DataFrame:
+    """Rows of `mix` with their number of whole copies, so that sources keep their words: 0 to 3.
+
+    With a source's rows by size, then in hashed order, a row gets the whole
+    epochs taken of it, and one more where the running sum of the fractions
+    passes a half. As sizes rise along that order, the words of a source's
+    copies differ from the words taken by the size of its largest document at
+    most. Buckets of the running sum are runs of a size; a source has no more
+    sizes than the root of twice its words.
+    """
+    rows = rows.where("size > 0").select("row_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~")).alias("src"), "size", "taken")
+    rows = cut(rows)
+    alike = cut(rows.groupBy("src", "size").agg(F.count("*").alias("n_alike")))
+    rows = rows.join(alike.hint("merge"), ["src", "size"])
+    run = F.floor(leading(F.col("row_key")) * bucket_count(F.col("n_alike")) / F.lit(2.0**32))
+    rows = rows.withColumn("b", F.col("size") * F.lit(1 << 31) + run).withColumn("part", F.expr(f"(taken % size) * {UNIT}L div size"))
+    placed = prefix_sums(rows, ["src"], "b", [F.col("size"), F.col("row_key")], F.col("part"), "before")
+    more = F.expr(f"(before + part + {UNIT // 2}L) div {UNIT}L - (before + {UNIT // 2}L) div {UNIT}L")
+    return placed.select("row_key", "src", "size", "taken", (F.expr("taken div size") + more).cast("int").alias("copies"))
+
+
+def repeated(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """`docs` with rows repeated by the copies of their key (row_key, copies).
 
     Rows of one key are equal, so it doesn't matter which of them gets a
     remainder. Texts are shuffled once, by key.
     """
-    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    plan = mix(docs, weights, block, seed).where("size > 0").select(F.col("row_key").alias("__row_key"), copies.alias("copies"))
-    plan = plan.groupBy("__row_key").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
+    plan = copies.groupBy(F.col("row_key").alias("__row_key")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
     nth = F.row_number().over(Window.partitionBy("__row_key").orderBy("__row_key"))
     kept = docs.withColumn("__row_key", row_key()).join(plan, "__row_key").withColumn("__nth", nth)
     own = F.expr("__copies div __rows + if(__nth <= __copies % __rows, 1, 0)")
     kept = kept.withColumn("__own", own.cast("int")).where("__own > 0")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__own"))).alias("__copy")).drop("__copy")
+
+
+def documents_by_targets(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK_WORDS, seed: int = 11) -> DataFrame:
+    """`docs` as the mix has them, with the same columns: rows are repeated or
+    left out whole, so that each source comes to the words that the mix takes of
+    it, give or take its largest document (see `whole_copies`)."""
+    return repeated(docs, whole_copies(mix(docs, weights, block, seed)))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK_WORDS, seed: int = 11) -> DataFrame:
+    """`docs` with each row repeated as often as the mix takes its words, rounded
+    on its own to whole documents with halves up; rows that come to less than
+    half are left out. Sources may miss their targets: see `documents_by_targets`.
+    """
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    return repeated(docs, mix(docs, weights, block, seed).where("size > 0").select("row_key", copies.alias("copies")))
