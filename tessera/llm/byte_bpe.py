@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import json
 import re
 import uuid
 from collections import Counter
@@ -22,8 +21,11 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import cut, written
 
-#: Buckets of the literal rank map, of a few entries each.
-RANK_BUCKETS = 16_384
+#: Buckets of the literal rank map, of a few entries each: a power of two for
+#: pieces, and for pairs of ranks a prime.
+RANK_BUCKETS, PAIR_BUCKETS = 1 << 14, 65_521
+#: Above all ranks, and no rank.
+PAIR, NONE = 1 << 20, 1 << 30
 #: Bytes of a word up to which `fold_short` is used.
 SHORT = 64
 #: Most entries of the dictionary of frequent words; others are folded where they occur.
@@ -45,15 +47,33 @@ def as_characters(piece: bytes) -> str:
     return piece.decode("latin-1")
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal: an array of small maps, chosen by a hash of the
-    key, because a map is searched entry by entry. Its size is that of the
-    vocabulary file, whatever the input."""
-    buckets: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
-    for piece, rank in ranks.items():
-        key = as_characters(piece)
-        buckets[xxhash.xxh64_intdigest(key.encode(), 42) % RANK_BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+def bucketed(entries: dict, count: int, place) -> list[dict]:
+    """So many small maps of the entries, because Spark searches a map entry by entry."""
+    buckets: list[dict] = [{} for _ in range(count)]
+    for key, value in entries.items():
+        buckets[place(key) % count][key] = value
+    return buckets
+
+
+def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """The ranks as a literal of one row: of each byte, of each piece (its bytes
+    as characters), and of each two pieces that make one. Its size is that of
+    the vocabulary file, whatever the input.
+
+    It is a scalar subquery: written out as a literal it would be in every text
+    that Spark keeps of a plan (4 MB each). Spark takes none within a
+    higher-order function, so it has to be a column first.
+    """
+    pieces = {as_characters(piece): rank for piece, rank in ranks.items()}
+    cuts = ((ranks.get(piece[:i]), ranks.get(piece[i:]), rank) for piece, rank in ranks.items() for i in range(1, len(piece)))
+    pairs = {a * PAIR + b: rank for a, b, rank in cuts if a is not None and b is not None}
+    row = (
+        [ranks[bytes([i])] for i in range(256)],
+        bucketed(pieces, RANK_BUCKETS, lambda key: xxhash.xxh64_intdigest(key.encode(), 42)),
+        bucketed(pairs, PAIR_BUCKETS, lambda key: key),
+    )
+    table = spark.createDataFrame([row], "bytes array<int>, pieces array<map<string,int>>, pairs array<map<bigint,int>>", verifySchema=False)
+    return table.select(F.struct("*").alias("ranks")).scalar()
 
 
 def let(value: Column, body) -> Column:
@@ -63,42 +83,42 @@ def let(value: Column, body) -> Column:
 
 def rank(key: Column, ranks: Column) -> Column:
     # the hash is signed here and was not where the buckets were made: the low bits agree
-    return F.element_at(ranks, (F.xxhash64(key).bitwiseAND(F.lit(RANK_BUCKETS - 1)) + 1).cast("int"))[key]
+    return F.get(ranks["pieces"], F.xxhash64(key).bitwiseAND(F.lit(RANK_BUCKETS - 1)).cast("int"))[key]
+
+
+def joined(a: Column, b: Column, ranks: Column) -> Column:
+    """The rank of the piece that the pieces of ranks a and b make, or NONE."""
+    key = a * F.lit(PAIR).cast("long") + b
+    return F.coalesce(F.get(ranks["pairs"], (key % PAIR_BUCKETS).cast("int"))[key], F.lit(NONE))
 
 
 def fold_short(word: Column, ranks: Column) -> Column:
     """The ranks of the parts that a short word is merged into.
 
-    The state has the parts and the ranks of all neighbours joined. A step
-    merges the first pair of least rank and looks up only its two new
-    neighbourhoods.
+    The state is one array: parts, each the rank of its piece plus PAIR, and
+    between two of them the rank of both joined, or NONE; NONE also stands at
+    either end. A step merges the first pair of least rank, which is the new
+    part, and looks up its two new neighbourhoods.
     """
-    none = F.lit(1 << 30)
-
-    def joined(a: Column, b: Column) -> Column:
-        return F.coalesce(rank(F.concat(a, b), ranks), none)
 
     def step(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
-
         def merged(i: Column) -> Column:
-            ab, n = F.concat(F.get(p, i - 1), F.get(p, i)), F.size(p)
-            left = F.when(i > 1, F.array(joined(F.get(p, i - 2), ab))).otherwise(F.array().cast("array<int>"))
-            right = F.when(i + 1 < n, F.array(joined(ab, F.get(p, i + 1)))).otherwise(F.array().cast("array<int>"))
-            parts = F.concat(F.slice(p, F.lit(1), i - 1), F.array(ab), F.slice(p, i + 2, n))
-            return F.struct(parts.alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, n)).alias("r"))
+            least = F.get(state, i - 1)
+            new = F.array(joined(F.get(state, i - 4) - PAIR, least, ranks), least + PAIR, joined(least, F.get(state, i + 2) - PAIR, ranks))
+            return F.when(least >= PAIR, state).otherwise(F.concat(F.slice(state, F.lit(1), i - 3), new, F.slice(state, i + 3, F.size(state))))
 
-        def least(m: Column) -> Column:
-            return F.when(m.isNull() | (m == none), state).otherwise(let(F.array_position(r, m).cast("int"), merged))
+        return let(F.array_position(state, F.array_min(state)).cast("int"), merged)
 
-        return let(F.array_min(r), least)
+    def start(parts: Column) -> Column:
+        def with_next(x: Column, i: Column) -> Column:
+            return F.array(x + PAIR, F.when(i + 1 < F.size(parts), joined(x, F.get(parts, i + 1), ranks)).otherwise(F.lit(NONE)))
 
-    def start(p: Column) -> Column:
-        pairs = F.slice(F.transform(p, lambda a, i: joined(a, F.get(p, i + 1))), F.lit(1), F.size(p) - 1)
-        final = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(p), F.lit(2))), F.struct(p.alias("p"), pairs.alias("r")), step)
-        return F.transform(final["p"], lambda x: rank(x, ranks))
+        state = F.concat(F.array(F.lit(NONE), F.lit(NONE)), F.flatten(F.transform(parts, with_next)), F.array(F.lit(NONE)))
+        final = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), state, step)
+        return F.transform(F.filter(final, lambda x: (x >= PAIR) & (x < NONE)), lambda x: x - PAIR)
 
-    return let(F.filter(F.split(word, "", -1), lambda b: b != ""), start)
+    letters = F.filter(F.split(word, "", -1), lambda c: c != "")
+    return let(F.transform(letters, lambda c: F.get(ranks["bytes"], F.ascii(c))), start)
 
 
 def fold_long(word: Column, ranks: Column) -> Column:
@@ -146,7 +166,7 @@ def fold(words: Column, ranks: Column) -> Column:
         whole, long = rank(word, m), F.length(word) > SHORT
         return F.when(whole.isNotNull(), F.array(whole)).when(long, fold_long(word, m)).otherwise(fold_short(word, m))
 
-    # the map is named once, or the plan would hold a copy for each place it is used at
+    # the map is named once, or it would be worked out at each place it is used at
     return let(ranks, lambda m: F.transform(words, lambda w: one(w, m)))
 
 
@@ -256,11 +276,12 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int = DICTIONARY) -> DataFrame:
-    """The words above a count that at most `most` words reach.
+    """The words of up to SHORT bytes above a count that at most `most` words reach.
 
     Counts are put into eighths of powers of two, so that what the driver sees
     of them is bounded, and whole classes are taken from the top.
     """
+    counts = counts.where(F.length("word") <= SHORT)
     level = F.floor(F.log2("n") * 8).cast("int")
     taken, least = 0, None
     for row in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
@@ -272,10 +293,12 @@ def frequent(counts: DataFrame, most: int = DICTIONARY) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY) -> pa.Table:
-    """word (its bytes as characters) and ids of the frequent words, of at most `most` rows, folded by tasks."""
+    """word (its bytes as characters) and ids of the frequent words, folded by
+    tasks: at most `most` rows of SHORT bytes and ids each."""
     spark = docs.sparkSession
     words = frequent(cut(word_counts(docs, pattern)), most).select("word").repartition(4 * spark.sparkContext.defaultParallelism)
-    return words.select("word", F.element_at(fold(F.array("word"), rank_map(ranks)), 1).alias("ids")).toArrow()
+    words = words.withColumn("ranks", rank_map(spark, ranks))
+    return words.select("word", F.element_at(fold(F.array("word"), F.col("ranks")), 1).alias("ids")).toArrow()
 
 
 class Lookup:
@@ -374,7 +397,7 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, dec
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(look_up, blocks)
     # written, so that a task has one Python worker at a time
     rows = written(rows, "bpe-blocks", "zstd")
-    rows = rows.select("doc_ids", "sizes", "codes", fold(F.col("rare"), rank_map(ranks)).alias("rare"))
+    rows = rows.withColumn("ranks", rank_map(spark, ranks)).select("doc_ids", "sizes", "codes", fold(F.col("rare"), F.col("ranks")).alias("rare"))
     if decoded:
         return rows.mapInArrow(lambda batches: decoded_batches(assemble(batches), path), with_decoded(encoded))
     return rows.mapInArrow(assemble, encoded)
