@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, written
+from tessera.llm.common import cut, slices, written
 
 #: Buckets of the literal rank map, of a few entries each: a power of two for
 #: pieces, and for pairs of ranks a prime.
@@ -30,8 +30,8 @@ PAIR, NONE = 1 << 20, 1 << 30
 SHORT = 64
 #: Most entries of the dictionary of frequent words; others are folded where they occur.
 DICTIONARY = 1 << 19
-#: Bytes of text in a block of documents, and words that a counter holds.
-BLOCK_CHARS, COUNTED_WORDS = 2 << 20, 200_000
+#: Words that a counter holds.
+COUNTED_WORDS = 200_000
 
 #: Bytes are held as the characters of the same number; these two stand around a part.
 OPEN, SHUT = "Ā", "ā"
@@ -242,18 +242,6 @@ def gathered(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray, at: np
     return values[np.repeat(begins[at] - (after - n), n) + np.arange(after[-1] if len(after) else 0)]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about BLOCK_CHARS bytes of a text column, and of a row at least."""
-    for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
-        begin = 0
-        while begin < len(b):
-            before = ends[begin - 1] if begin else 0
-            stop = max(int(np.searchsorted(ends, before + BLOCK_CHARS)), begin + 1)
-            yield b.slice(begin, stop - begin)
-            begin = stop
-
-
 def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     """word (its bytes as characters) and n over all texts; tasks hand on what they have counted."""
 
@@ -350,7 +338,7 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, dec
     `path` is a file of ranks, `pattern` splits texts into words. Words are
     counted over all documents, and the most frequent, at most `most`, are
     folded once and broadcast as a dictionary. Then documents are looked up in
-    blocks of about BLOCK_CHARS characters; the distinct words of a block that
+    blocks (see `slices`); the distinct words of a block that
     the dictionary lacks are written with it and folded in the block's row. All
     that is narrow: no text is shuffled, and every word has its ids by the same
     fold.
