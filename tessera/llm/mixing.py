@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import WORD, attach, bucket_count, cut, leading, prefix_sums, unit_hash
+from tessera.llm.common import WORD, attach, bucket_count, cut, leading, prefix_sums
 
-#: The eight smallest primes above 10^12, multipliers of the index
-#: permutations. Any source of fewer blocks has no factor in common with them.
-PRIMES = (1000000000039, 1000000000061, 1000000000063, 1000000000091, 1000000000121, 1000000000163, 1000000000169, 1000000000177)
-
-#: Words of a block, blocks of an output shard, and how often a text may repeat.
+#: Words of a block, slots of an output shard, and how often a text may repeat.
 BLOCK_WORDS = 128
 SHARD_BLOCKS = 4096
 MOST_EPOCHS = 3
 #: Slots that one row unfolds to, so that many tasks unfold a hot source.
 SLOT_RUN = 2048
+#: Cells that the line of all slots is cut into to find the source of a draw.
+CELLS = 1024
+#: Rounds of an index permutation, and times that one is repeated (see `permuted`).
+ROUNDS, WALKS = 4, 16
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_EPOCHS) -> DataFrame:
@@ -45,40 +45,92 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     return s.select("src", "source_size", F.least(cap, share).alias("target"))
 
 
-def schedule(sources: DataFrame, block: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 11) -> DataFrame:
-    """One row for each slot of the mix: src, slot, epoch, block, words, shard.
+def shard_counts(sources: DataFrame, total: int, shard_blocks: int, seed: int) -> DataFrame:
+    """Slots of each source in each output shard: src, shard, n, a multinomial draw for each shard.
+
+    `sources` (materialised) has src and slots, which sum to `total`. Slots lie
+    on a line, those of a source together, and every slot of the output draws a
+    place on it. Cells of the line lead to the sources that lie in them.
+    """
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    end = F.sum("slots").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0))
+    line = sources.select("src", "slots", end.alias("end")).select("src", (F.col("end") - F.col("slots")).alias("begin"), "end")
+    cell = lambda place: F.expr(f"{place} * {CELLS}L div {total}L")
+    line = line.withColumn("last", F.col("end") - 1).select("*", F.explode(F.sequence(cell("begin"), cell("last"))).alias("cell"))
+    drawn = sources.sparkSession.range(0, total, 1, tasks).select(F.expr(f"id div {shard_blocks}L").alias("shard"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("place"))
+    drawn = attach(drawn.withColumn("cell", cell("place")), cut(line.drop("last")), "cell").where("place >= begin and place < end")
+    return drawn.groupBy("src", "shard").agg(F.count("*").alias("n"))
+
+
+def permuted(x: Column, n: Column, seed: Column) -> Column:
+    """The place of x among n under a pseudorandom permutation of 0 to n - 1.
+
+    Numbers are laid out in a grid of a x b places, a the root of n rounded up.
+    Each round adds a hash of the column to the row and a hash of the row to the
+    column. Fewer than a places of the grid are beyond n; what comes to one is
+    permuted again. WALKS times are enough up to n = WALKS^2, and beyond fail
+    with a chance below n^(-WALKS / 2); then the place is x itself.
+    """
+    a = F.ceil(F.sqrt(F.greatest(n, F.lit(1)))).cast("long")
+
+    def walked(a: Column) -> Column:
+        return let(F.ceil(n / a).cast("long"), lambda b: F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(x, a, b), lambda y, _: F.when(y < n, y).otherwise(once(y, a, b))))
 
-    `sources` has src, source_size and target. A source's blocks repeat epoch
-    by epoch. Within an epoch, slots run through the whole blocks by a
-    pseudorandom index permutation (slot times a prime plus an offset, modulo
-    their number; both drawn for source and epoch), then through the shorter
-    last block. The last epoch ends, if need be within a block, where the
-    target is reached.
+    def once(y: Column, a: Column, b: Column) -> Column:
+        def round_(at: Column, k: Column) -> Column:
+            row = F.pmod(at["row"] + F.xxhash64(seed, k, at["column"]) % a, a)
+            return let(row, lambda r: F.struct(r.alias("row"), F.pmod(at["column"] + F.xxhash64(seed, k + 1, r) % b, b).alias("column")))
 
-    Every slot draws its output shard. So the counts by source of a shard are
-    multinomial draws, on condition that each source's total meets its target.
+        start = F.struct(F.floor(y / b).cast("long").alias("row"), (y % b).alias("column"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(2 * ROUNDS - 2), F.lit(2)), start, round_, lambda at: at["row"] * b + at["column"])
+
+    return let(let(a, walked), lambda y: F.when(y < n, y).otherwise(x))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with `value` worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def schedule(sources: DataFrame, block: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 11) -> DataFrame:
+    """The mix: one row for each slot of the output: shard, src, slot, epoch, block, words.
+
+    `sources` has src, source_size and target. Output shards have `shard_blocks`
+    slots, and each draws its counts of the sources from a multinomial
+    distribution (see `shard_counts`). A source's slots are numbered through its
+    shards. They stop where the target is reached; what the draws leave short of
+    it goes to closing shards. So the draws decide in which shard a slot lies,
+    and the words of each source meet the target to the word.
+
+    A source's blocks repeat epoch by epoch. Within an epoch, slots run through
+    the whole blocks by an index permutation of the source and epoch, then
+    through the shorter last block. The last epoch ends, if need be within a
+    block, where the target is reached.
     """
     s = sources.where("source_size > 0").withColumn("want", F.least(F.round("target").cast("long"), MOST_EPOCHS * F.col("source_size")))
     s = s.withColumn("full", F.expr(f"source_size div {block}L")).withColumn("tail", F.expr(f"source_size % {block}L"))
     s = s.withColumn("blocks", F.expr("full + if(tail > 0, 1, 0)"))
     s = s.withColumn("epochs", F.expr("want div source_size")).withColumn("rest", F.expr("want % source_size"))
-    s = s.withColumn("slots", F.expr(f"epochs * blocks + (rest + {block - 1}) div {block}L")).where("slots > 0")
-    s = s.withColumn("shards", F.ceil(F.sum("slots").over(Window.partitionBy()) / shard_blocks))
-    runs = s.select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOT_RUN}L)")).alias("run"))
+    s = cut(s.withColumn("slots", F.expr(f"epochs * blocks + (rest + {block - 1}) div {block}L")).where("slots > 0"))
+    total = s.agg(F.sum("slots")).first()[0] or 0
+    shards = -(-total // shard_blocks)
+    counts = cut(shard_counts(s, max(total, 1), shard_blocks, seed))
+    run = max(256, int(shards**0.5))
+    placed = prefix_sums(counts.withColumn("b", F.expr(f"shard div {run}L")), ["src"], "b", [F.col("shard")], F.col("n"), "begin")
+    drawn = placed.select("src", "shard", "begin", (F.col("begin") + F.col("n")).alias("end"))
+    short = s.join(counts.groupBy("src").agg(F.sum("n").alias("n")), "src", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < slots")
+    short = short.select("src", "slots", "n", F.explode(F.expr(f"sequence(0L, (slots - n - 1) div {SLOT_RUN}L)")).alias("run"))
+    short = short.select("src", F.expr(f"{shards}L + run * {SLOT_RUN}L div {shard_blocks}L").alias("shard"), F.expr(f"n + run * {SLOT_RUN}L").alias("begin"), F.expr(f"least(slots, n + (run + 1) * {SLOT_RUN}L)").alias("end"))
     tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = runs.repartition(tasks, "src", "run")  # a set number, which adaptive execution doesn't lower
-    slots = runs.select("*", F.explode(F.expr(f"sequence(run * {SLOT_RUN}L, least(slots, (run + 1) * {SLOT_RUN}L) - 1)")).alias("slot"))
+    runs = drawn.unionByName(short).repartition(tasks, "src", "begin")  # a set number, which adaptive execution doesn't lower
+    runs = attach(runs, s.drop("source_size", "target"), "src").where("begin < slots")
+    slots = runs.select("*", F.explode(F.expr("sequence(begin, least(end, slots) - 1)")).alias("slot"))
     slots = slots.withColumn("epoch", F.expr("slot div blocks")).withColumn("j", F.expr("slot % blocks"))
-    dice = unit_hash(F.lit(str(seed)), "src", "epoch")
-    prime = F.element_at(F.array(*map(F.lit, PRIMES)), (leading(dice) % len(PRIMES) + 1).cast("int"))
-    offset = leading(F.substring(dice, 9, 8))
-    wide = F.col("j").cast("decimal(18,0)") * prime.cast("decimal(18,0)") + offset.cast("decimal(18,0)")
     inner = F.col("j") < F.col("full")
-    index = F.when(inner, (wide % F.col("full").cast("decimal(18,0)")).cast("long")).otherwise(F.col("full"))
+    index = F.when(inner, permuted(F.col("j"), F.col("full"), F.xxhash64(F.lit(seed), "src", "epoch"))).otherwise(F.col("full"))
     length = F.when(inner, F.lit(block).cast("long")).otherwise(F.col("tail"))
     words = F.when(F.col("epoch") < F.col("epochs"), length).otherwise(F.least(length, F.col("rest") - F.col("j") * block))
-    shard = F.floor(leading(unit_hash(F.lit(f"{seed} shard"), "src", "slot")) * F.col("shards") / F.lit(2.0**32))
-    return slots.select("src", "slot", "epoch", index.alias("block"), words.alias("words"), shard.alias("shard"))
+    return slots.select("shard", "src", "slot", "epoch", index.alias("block"), words.alias("words"))
 
 
 def row_key() -> Column:
@@ -88,8 +140,8 @@ def row_key() -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK_WORDS, seed: int = 11) -> DataFrame:
-    """How many words of each document the mix takes.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 11) -> DataFrame:
+    """How many words of each document the mix takes, and in which of its shards.
 
     The words of a source, its documents in hashed order, are packed end to end
     into blocks of `block` words; a document may span blocks and share them.
@@ -105,7 +157,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOC
     counted apart; a table without words has targets 0; an empty table gives no
     rows; columns besides doc_id, source and text are not read.
 
-    Returns row_key, doc_id, source, size, source_size, target, taken.
+    Returns row_key, doc_id, source, size, source_size, target, taken, and the
+    first and last output shard with words of it (null if none are taken).
     """
     rows = docs.select(
         "doc_id",
@@ -128,13 +181,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOC
     begin = F.greatest(F.col("start"), F.col("block") * block) - F.col("block") * block
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("block") * block
     spans = spans.select("row", "src", "block", begin.alias("begin"), end.alias("end"))
-    uses = schedule(sources.drop("n_source"), block, seed=seed).groupBy("src", "block", "words").agg(F.count("*").alias("times"))
-    part = F.greatest(F.least(F.col("end"), F.col("words")) - F.col("begin"), F.lit(0)) * F.col("times")
+    slots = schedule(sources.drop("n_source"), block, shard_blocks, seed).select("src", "block", "words", "shard")
+    part = F.least(F.col("end"), F.col("words")) - F.col("begin")
     # the planner takes unfolded rows for few: without the hint it would broadcast them
-    took = spans.join(uses.hint("merge"), ["src", "block"]).select("row", part.alias("part"))
-    took = took.groupBy("row").agg(F.sum("part").alias("part"))
+    took = spans.join(slots.hint("merge"), ["src", "block"]).select("row", "shard", part.alias("part")).where("part > 0")
+    took = took.groupBy("row").agg(F.sum("part").alias("part"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
     out = placed.join(took.hint("merge"), "row", "left")
-    return out.select("row_key", "doc_id", "source", "size", "source_size", "target", F.coalesce("part", F.lit(0)).cast("long").alias("taken"))
+    return out.select("row_key", "doc_id", "source", "size", "source_size", "target", F.coalesce("part", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard")
 
 
 #: Parts of a document that fractions are counted in.
@@ -180,7 +233,7 @@ def documents_by_targets(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3),
     """`docs` as the mix has them, with the same columns: rows are repeated or
     left out whole, so that each source comes to the words that the mix takes of
     it, give or take its largest document (see `whole_copies`)."""
-    return repeated(docs, whole_copies(mix(docs, weights, block, seed)))
+    return repeated(docs, whole_copies(mix(docs, weights, block, seed=seed)))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK_WORDS, seed: int = 11) -> DataFrame:
@@ -189,4 +242,4 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block
     half are left out. Sources may miss their targets: see `documents_by_targets`.
     """
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    return repeated(docs, mix(docs, weights, block, seed).where("size > 0").select("row_key", copies.alias("copies")))
+    return repeated(docs, mix(docs, weights, block, seed=seed).where("size > 0").select("row_key", copies.alias("copies")))
