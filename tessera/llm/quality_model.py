@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 #: Buckets of hashed words, and factors of an interaction.
 WORD_BUCKETS, FACTORS = 1 << 16, 8
-#: Most labelled rows that the model is fitted on, taken in the order of a hash.
-FIT_ROWS = 6_000
+#: Most labelled rows that the model is fitted on, taken in the order of a hash,
+#: and the most bytes that a text has for it.
+FIT_ROWS, FIT_BYTES = 6_000, 1 << 16
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.05, 1e-4
 #: A score from which a text counts as good.
 GOOD = 0.3
@@ -32,10 +33,9 @@ def share_without(text: bytes, some: bytes) -> int:
 
 
 def features(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values: a bucket for each word, then one for each statistic.
+    """Indices and values: the buckets of the words, each once, then one for each statistic.
 
-    Word values are the roots of the shares of the words, so that their squares
-    sum to 1; statistics are ratios or logarithms scaled to about 0 to 1.
+    A bucket's value is the root of its words' share, so that the squares sum to 1; statistics are ratios or logarithms scaled to about 0 to 1.
     """
     raw = (text or "").encode("utf-8", "replace")
     words = raw.lower().split()
@@ -58,8 +58,9 @@ def features(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndar
         1 - len(set(lines)) / max(len(lines), 1),
         math.log1p(n / max(len(lines), 1)) / 8,
     )
-    at = np.fromiter((zlib.crc32(w) % WORD_BUCKETS for w in counts), np.int64, len(counts))
-    values = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)) / n)
+    buckets = np.fromiter((zlib.crc32(w) % WORD_BUCKETS for w in counts), np.int64, len(counts))
+    at, which = np.unique(buckets, return_inverse=True)
+    values = np.sqrt(np.bincount(which, np.fromiter(counts.values(), np.float64, len(counts)), len(at)) / n)
     return np.append(at, WORD_BUCKETS + np.arange(len(stats))), np.append(values, stats)
 
 
@@ -126,12 +127,15 @@ def held_out(folds: int = 5):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> Machine:
     """A machine fitted on at most `most` labelled rows that are not held out.
 
     The rows are those of the first ids by hash; a document with several labels
-    has the least of them. Their ids, whose number is bounded by `most`, are
-    broadcast, so that texts are not shuffled; features are made by the tasks.
+    has the least of them, and an id with several rows is one row, the least by
+    hash of its text. Texts of over `most_bytes` are left out of the fit. The
+    ids, whose number is bounded by `most`, are broadcast, so that no other text
+    is shuffled; features are made by the tasks, and the driver gets those of
+    `most` rows of bounded size.
     """
     known = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -142,13 +146,13 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Machine:
             lists = pa.array([m[0].tolist() for m in made], pa.list_(pa.int32())), pa.array([m[1].tolist() for m in made], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([b.column(0), *lists, b.column(3)], ["doc_id", "at", "x", "quality"])
 
-    rows = docs.select("doc_id", "text", F.col("n_chars").cast("long")).join(F.broadcast(some), "doc_id")
-    got = rows.mapInArrow(run, "doc_id long, at array<int>, x array<float>, quality int").toArrow()
+    rows = docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+    rows = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "n_chars", "quality")).alias("one"))
+    got = rows.select("doc_id", "one.text", "one.n_chars", "one.quality").mapInArrow(run, "doc_id long, at array<int>, x array<float>, quality int").toArrow()
     got = got.take(pa.compute.sort_indices(got, [("doc_id", "ascending")])) if len(got) else got
     ends = np.cumsum(pa.compute.list_value_length(got["at"]).to_numpy())[:-1]
     at, x = (np.split(got[c].combine_chunks().flatten().to_numpy().astype(t), ends) for c, t in (("at", np.int64), ("x", np.float64)))
-    made = list(zip(at, x, strict=True)) if len(got) else []
-    return fit(made[: 2 * most], np.array(got["quality"].to_pylist()[: 2 * most], np.float64))
+    return fit(list(zip(at, x, strict=True)) if len(got) else [], np.array(got["quality"].to_pylist(), np.float64))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
