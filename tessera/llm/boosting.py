@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,18 @@ class Forest:
     cuts: np.ndarray
     leaves: np.ndarray
 
+    def dump(self) -> str:
+        parts = [f'"{k}": {getattr(self, k)!r}' for k in ("base", "rate")]
+        for k in ("features", "cuts", "leaves"):
+            rows = ",\n".join(json.dumps([float(v) for v in row]).replace(".0,", ",").replace(".0]", "]") for row in getattr(self, k))
+            parts.append(f'"{k}": [\n{rows}\n]')
+        return "{" + ",\n".join(parts) + "}\n"
+
+    @staticmethod
+    def load(text: str) -> Forest:
+        d = json.loads(text)
+        return Forest(d["base"], d["rate"], np.array(d["features"], np.int64), np.array(d["cuts"], np.float64), np.array(d["leaves"], np.float64))
+
     def margins(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.base)
         inner = self.features.shape[1]

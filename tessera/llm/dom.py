@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -80,7 +81,12 @@ class Page:
 
     def read(self, text: str) -> None:
         stack, run, run_links, in_link, at, end = [0], [], 0, False, 0, len(text)
-        tag_of, lower = self.tag, None
+        tag_of, lower, still_open = self.tag, None, Counter()
+
+        def shut(k: int) -> None:
+            """Closes the blocks from place k of the stack on."""
+            still_open.subtract(tag_of[i] for i in stack[k:])
+            del stack[k:]
 
         def flush() -> None:
             nonlocal run, run_links
@@ -106,12 +112,12 @@ class Page:
                 name = closing.lower()
                 if name == "a":
                     in_link = False
-                elif name in BLOCKS and name not in ("body", "html"):
-                    for k in range(len(stack) - 1, 0, -1):
-                        if tag_of[stack[k]] == name:
-                            flush()
-                            del stack[k:]
-                            break
+                elif still_open[name] > 0:
+                    flush()
+                    k = len(stack) - 1
+                    while tag_of[stack[k]] != name:
+                        k -= 1
+                    shut(k)
             elif opening:
                 name = opening.lower()
                 if name in BLOCKS:
@@ -119,23 +125,21 @@ class Page:
                     if name in ("body", "html", "hr"):
                         continue
                     if tag_of[stack[-1]] == "p":
-                        stack.pop()
-                    if name in CLOSED_BY:
+                        shut(len(stack) - 1)
+                    if any(still_open[x] > 0 for x in CLOSED_BY.get(name, ())):
                         for k in range(len(stack) - 1, 0, -1):
                             if tag_of[stack[k]] in ROOTS.get(name, ()):
                                 break
                             if tag_of[stack[k]] in CLOSED_BY[name]:
-                                del stack[k:]
-                    if len(stack) < 200:  # deeper blocks are siblings
-                        stack.append(self.open(name, stack[-1], m.group(3)))
-                    else:
-                        stack[-1] = self.open(name, stack[-2], m.group(3))
+                                shut(k)
+                    stack.append(self.open(name, stack[-1], m.group(3)))
+                    still_open[name] += 1
                 elif name in HIDDEN and not m.group(3).endswith("/"):
                     lower = text.lower() if lower is None else lower
-                    shut = lower.find(f"</{name}", at)
+                    over = lower.find(f"</{name}", at)
                     if len(lower) != len(text):
-                        shut = (x.start() if (x := re.compile(f"</{name}", re.IGNORECASE).search(text, at)) else -1)
-                    at = end if shut < 0 and name in ("script", "style", "textarea", "title") else max(shut, at)
+                        over = (x.start() if (x := re.compile(f"</{name}", re.IGNORECASE).search(text, at)) else -1)
+                    at = end if over < 0 and name in ("script", "style", "textarea", "title") else max(over, at)
                 elif name == "a":
                     in_link = True
                 elif name in ("br", "img", "input"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from tessera.llm.dom import HINTS, Page, decide, hierarchy
 
 #: Made-up pages that the trees are fitted on, and the pages scored together.
 FIT_PAGES, TOGETHER = 900, 64
+#: Where the fitted trees are.
+STORED = Path(__file__).with_name("html_forest.json")
 
 SYLLABLES = "an be ca de en fo ga hi in jo ka la mo ne os pi qu re sa ti un ve wo xi yo za ing tion ment ble heit keit ción eau ère ß ü ñ".split()
 MARKS = ("", "", "", "", "", "***", "!!", " |", "%%%", "$$$")
@@ -149,13 +152,18 @@ def example(seed: int) -> tuple[np.ndarray, np.ndarray]:
     return x[some], kept[some]
 
 
-@lru_cache(maxsize=1)
-def model(pages: int = FIT_PAGES) -> Forest:
+def fitted(pages: int = FIT_PAGES) -> Forest:
     """Trees fitted on `pages` made-up pages; the same at every call."""
     made = [example(seed) for seed in range(pages)]
     return grow(np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]))
 
 
+@lru_cache(maxsize=1)
+def model() -> Forest:
+    """The trees of `fitted`, as `python -m tessera.llm.html_extract` has stored them beside this module."""
+    return Forest.load(STORED.read_text())
+
+
 def extract_text(page: Page, margins: np.ndarray, x: np.ndarray, parent: np.ndarray) -> str:
     kept = decide(margins, parent, np.expm1(x[:, 0]))
     return "\n\n".join(" ".join(w) for w, k in zip(page.words, kept, strict=True) if k and w)
@@ -188,3 +196,7 @@ def extract(pages: DataFrame, forest: Forest) -> DataFrame:
 
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return pages.select("page_id", "url", F.col("html")).mapInArrow(run, schema)
+
+
+if __name__ == "__main__":
+    STORED.write_text(fitted().dump())

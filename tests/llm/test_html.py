@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import html_extract
-from tessera.llm.boosting import grow
+from tessera.llm.boosting import Forest, grow
 from tessera.llm.dom import Page, decide, hierarchy
 
 
@@ -56,6 +56,27 @@ def test_edge_pages(spark, forest):
     assert html_extract.extract(df.where("false"), forest).count() == 0
 
 
+def test_deep_pages_keep_their_tree():
+    page = Page("<div>" * 1000 + "<p>x" + "</div>" * 999 + "<p>y</div><p>z")
+    up = {w[0]: i for i, w in enumerate(page.words) if w}
+    assert page.tag.count("div") == 1000 and [up_depth(page, up[w]) for w in "xyz"] == [1002, 3, 2]
+
+
+def up_depth(page, i):
+    n = 0
+    while i:
+        i, n = page.parent[i], n + 1
+    return n
+
+
+def test_stored_trees_are_those_of_the_made_up_pages():
+    made = [html_extract.example(seed)[0] for seed in range(20)]
+    x = np.concatenate(made)
+    few = html_extract.grow(x, (x[:, 0] > 3).astype(float), trees=3)
+    again = Forest.load(few.dump())
+    assert np.allclose(few.margins(x), again.margins(x)) and html_extract.model().features.shape == (40, 15)
+
+
 def test_nothing_below_a_dropped_node_is_kept():
     rng = np.random.default_rng(1)
     for _ in range(50):
