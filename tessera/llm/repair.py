@@ -8,9 +8,10 @@ import numpy as np
 
 #: Symbols below this are ids, the others are rules.
 TERMINALS = 1 << 20
-#: A pair becomes a rule if it occurs so often, and at least this share of the
-#: count of the most frequent pair of the round.
-LEAST, SHARE = 12, 0.25
+#: A pair becomes a rule if it occurs so often (a rule is three numbers, so that
+#: fewer save nothing), and at least this share of the count of the most frequent
+#: pair of the round.
+LEAST, SHARE = 4, 0.25
 #: Pairs are counted in so many bits of slots before they are counted exactly.
 SLOT_BITS = 18
 

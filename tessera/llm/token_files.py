@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,20 +15,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from tessera.llm.common import attach, cut
+from tessera.llm.common import attach, cut, prefix_sums
 from tessera.llm.repair import Grammar, compress
 
 #: Bytes of text of a shard, and ids of a segment.
 SHARD_BYTES, SEGMENT_IDS = 16 << 20, 1 << 20
 END = 1
+#: Words of Latin letters of which each is one letter in lower case, and its own normal form.
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-įıĲ-ɏ]+$"
+#: Shards whose segments one task sums.
+SHARD_RUN = 1024
 #: Words of letters that are encoded as one text, the mark of a word's end in
 #: the vocabulary, and marks of which the tokenizer makes one match at a word's end.
 JOINED, WORD_END, MARKS = 1000, "</w>", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
+#: The parts of the tokenizer's file that `WordEncoder` relies on.
+NORMAL_FORM = [["NFC"], ["Replace", {"Regex": r"\s+"}, " "], ["Lowercase"]]
+MATCHES = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+SPACED = re.compile(r"\s")
+
 PARTS = ("sequence", "left", "right", "lengths")
 
 
@@ -51,15 +61,20 @@ class Lists:
 class WordEncoder:
     """Ids of texts, by the ids of their words between ASCII white space.
 
-    The tokenizer's patterns never match across white space, and neither its
-    normal form nor its lower case reaches across it. So a text's ids are its
-    words' ids in turn, and each distinct word of a batch is encoded once.
+    The tokenizer's patterns never match across white space, its normal form and
+    lower case don't reach across it, and its special tokens have none. So a
+    text's ids are its words' ids in turn, and each distinct word of a batch is
+    encoded once. A file of other parts is an error.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        parts = json.loads(self.tokenizer.to_str())
+        own = [[x["type"], *([x["pattern"], x["content"]] if x["type"] == "Replace" else [])] for x in parts["normalizer"]["normalizers"]]
+        pattern = parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]
+        if own != NORMAL_FORM or pattern != MATCHES or any(SPACED.search(x["content"]) for x in parts["added_tokens"]):
+            raise ValueError(f"{path}: not a tokenizer of words between white space")
         #: For ASCII letters in lower case, which have their normal form and stand for their own bytes.
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = WhitespaceSplit()
@@ -99,15 +114,16 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, without end ids, and how many each has.
 
-        A word of letters with marks behind it has the ids of the letters (in
+        A word of LETTERS with marks behind it has the ids of the letters (in
         lower case, if ASCII) and those of the marks, each of which is a match
-        of the tokenizer's pattern; other words are taken whole.
+        of the tokenizer's pattern. Other words are taken whole: the lower case
+        or normal form of other letters may end in a mark that joins those behind.
         """
         split = pc.ascii_split_whitespace(texts)
         sizes, every = pc.list_value_length(split).to_numpy(zero_copy_only=False), split.flatten().dictionary_encode()
         words = every.dictionary
         cores = pc.utf8_rtrim(words, MARKS)
-        simple = pc.utf8_is_alpha(cores)
+        simple = pc.match_substring_regex(cores, LETTERS)
         lower = pc.if_else(pc.string_is_ascii(cores), pc.ascii_lower(cores), cores)
         marked = pc.and_(simple, pc.not_equal(cores, words))
         marks = [w[len(c) :] for w, c in zip(*(x.filter(marked).to_numpy(zero_copy_only=False) for x in (words, cores)), strict=True)]
@@ -141,6 +157,11 @@ def write(docs: DataFrame, tokenizer: str, path: str, shard_bytes: int = SHARD_B
     doc_ids and counts of its documents, and the grammar's sequence, left and
     right symbols of its rules, and the rules' expansion lengths, as
     little-endian unsigned 32-bit integers.
+
+    Defined results: a null or empty text is the end id alone; rows of one
+    doc_id lie in the order of a hash of their texts, equal rows anywhere among
+    each other; null ids come first; a text of any length is in one segment; an
+    empty table gives files without rows; other columns are not read.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -184,11 +205,15 @@ def write(docs: DataFrame, tokenizer: str, path: str, shard_bytes: int = SHARD_B
 def read(spark: SparkSession, path: str, kind: T.DataType = T.LongType()) -> DataFrame:
     """Every document's ids from the files: doc_id, start, ids (little-endian unsigned 32-bit).
 
-    `start` counts the ids of all documents before it. The offsets of segments
-    are summed within their shard, and those of shards over all.
+    `start` counts the ids of all documents before it: the ids of all segments
+    before its own, which are prefix sums over buckets of shards and meet the
+    compressed segments, and those before it in the segment.
+
+    Defined results: one row for each row that was written, with its doc_id,
+    null or repeated; files without rows give none.
     """
-    files = spark.read.parquet(path)
-    schema = T.StructType.fromDDL("shard int, segment int, local long, ids binary")
+    files = spark.read.parquet(path).withColumn("place", F.struct("shard", "segment"))
+    schema = T.StructType.fromDDL("start long, ids binary")
     schema.add("doc_id", kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,16 +224,11 @@ def read(spark: SparkSession, path: str, kind: T.DataType = T.LongType()) -> Dat
                 ends, n = np.cumsum(counts), len(counts)
                 offsets = np.append(0, 4 * ends).astype(np.int64)
                 raw = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
-                columns = [pa.array([row["shard"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int32()), pa.array(ends - counts, pa.int64()), raw]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(row["doc_ids"], b.schema.field("doc_ids").type.value_type)], schema.names)
-
-    segments = files.select("shard", "segment", "n_ids")
-    shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
-    inner = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    bases = segments.withColumn("inner", F.sum("n_ids").over(inner)).join(shards, "shard")
-    bases = cut(bases.select(F.struct("shard", "segment").alias("place"), (F.coalesce("base", F.lit(0)) + F.coalesce("inner", F.lit(0))).alias("base")))
-    docs = files.mapInArrow(run, schema).withColumn("place", F.struct("shard", "segment"))
-    return attach(docs, bases, "place").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "ids")
+                yield pa.RecordBatch.from_arrays([pa.array(row["base"] + ends - counts, pa.int64()), raw, pa.array(row["doc_ids"], b.schema.field("doc_ids").type.value_type)], schema.names)
+
+    segments = files.select("place", "n_ids", F.expr(f"shard div {SHARD_RUN}").alias("run"))
+    bases = cut(prefix_sums(segments, [], "run", [F.col("place")], F.col("n_ids"), "base").select("place", "base"))
+    return attach(files, bases, "place").select("base", "counts", "doc_ids", *PARTS).mapInArrow(run, schema).select("doc_id", "start", "ids")
 
 
 def digest(rows: DataFrame) -> DataFrame:

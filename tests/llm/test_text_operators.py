@@ -2,12 +2,15 @@
 
 import base64
 import hashlib
+import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from edge_cases import edge_rows
 from hypothesis import given, settings
@@ -159,7 +162,6 @@ def test_splitter_on_odd_characters():
 def test_token_files(spark, edges, none, tmp_path):
     tok = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(tok)
-    plain.encode_special_tokens = True
     docs = edges.where("doc_id is not null").dropDuplicates(["doc_id"])
     token_files.write(docs, tok, str(tmp_path / "a"), shard_bytes=60_000, segment_ids=5_000)
     got = token_files.digest(token_files.read(spark, str(tmp_path / "a"))).orderBy("doc_id").collect()
@@ -176,6 +178,21 @@ def test_token_files(spark, edges, none, tmp_path):
     assert token_files.read(spark, str(tmp_path / "c")).count() == 0
 
 
+#: Letters that change when lower-cased or composed, marks, spaces and special tokens.
+ODD = [*"abcXYZ  \n\t!?.'`\"|<>_-09", *"İıßΣςﬁ漢🙂ǅª²Ⅷ", "e\u0301", "\u0307", "A\u030a", "\u212b", "\u200d", "\u00a0", "\x1c", "\x85", "<|endoftext|>", "<|startoftext|>", "'s", "n't", "\u1100\u1161", "\ufeff", "\u0345", "İ!"]
+
+
+def test_token_ids_of_odd_texts():
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    own, library = token_files.encoder(path), Tokenizer.from_file(path)
+    assert all(len(x.lower()) == 1 and unicodedata.normalize("NFC", x) == x for x in map(chr, range(0xC0, 0x250)) if re.match(token_files.LETTERS, x))
+    for _ in range(10):
+        texts = ["".join(r.choice(ODD) for _ in range(r.randint(0, 14))) for _ in range(1000)]
+        ids, n = own.encode(pa.array(texts))
+        ends = np.cumsum(n)
+        assert [ids[i:j].tolist() for i, j in zip(ends - n, ends)] == [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=300), st.integers(0, 300), st.integers(0, 300))
 def test_grammar_round_trip_and_random_access(ids, a, b):
