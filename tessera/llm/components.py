@@ -22,19 +22,31 @@ def small_star(edges: DataFrame) -> DataFrame:
     return down.union(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
+#: Edges of a partition, about, where there are few.
+PART_EDGES = 50_000
+
+
+def settled(edges: DataFrame) -> bool:
+    """Whether every node is either a root or linked to one root alone."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("low")).union(edges.select(F.col("b").alias("node"), F.lit(1).alias("low")))
+    roles = ends.groupBy("node").agg(F.sum("low").alias("low"), F.min("low").alias("least"))
+    return roles.where("low > 1 or low = 1 and least = 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """For each node of `edges` (a, b with a < b) the least node it is connected to: node, root.
 
-    Alternates large and small stars until nothing changes, which takes a
-    number of rounds logarithmic in the size of a component. A round groups and
-    joins by node; hubs are summed before the shuffle, and hot keys of the joins
-    are split by adaptive execution. Rounds are cut by reliable checkpoints.
+    Alternates large and small stars until all are stars, which takes a number
+    of rounds logarithmic in the size of a component. A round groups and joins
+    by node; hubs are summed before the shuffle, and hot keys of the joins are
+    split by adaptive execution. Rounds are cut by reliable checkpoints, in no
+    more files than their edges fill.
     """
     edges = cut(edges)
-    state = None
-    while True:
-        seen = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if seen == state or not seen[0]:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        state = seen
-        edges = cut(small_star(cut(large_star(edges))))
+    while rows := edges.count():
+        parts = rows // PART_EDGES + 1
+        if settled(edges):
+            break
+        edges = cut(large_star(edges.coalesce(parts)).coalesce(parts))
+        edges = cut(small_star(edges).coalesce(parts))
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).distinct()
