@@ -50,3 +50,19 @@ def spaceless(text: Column) -> Column:
 def node_id(name: Column) -> Column:
     """A name with all but letters, digits and underscores replaced, for graph languages."""
     return F.regexp_replace(name, "[^A-Za-z0-9_]", "_")
+
+
+#: Pieces of a source text: comments, strings, templates, and what is between them.
+PIECES = r"""//[^\n]*|/\*[\s\S]*?\*/|"[^"\\\n]*(?:\\.[^"\\\n]*)*"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'|`[^`\\]*(?:\\[\s\S][^`\\]*)*`|[^"'`/]+|[\s\S]"""
+QUIET = r"""^(?://|/\*|["'`][\s\S])"""
+
+
+def masked(text: Column) -> Column:
+    """A source text with blanks for the characters of comments and strings; lines and places stay."""
+    pieces = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(QUIET), F.regexp_replace(x, "[^\n]", " ")).otherwise(x)), "")
+
+
+def ordered_set(values: Column) -> Column:
+    """The values of an array, each once, in the order in which they come first; nulls go."""
+    return F.array_distinct(F.array_compact(values))

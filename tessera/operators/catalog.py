@@ -86,3 +86,18 @@ def import_names(files: DataFrame) -> DataFrame:
     open_ = ranked.join(best, "package").where((F.col("best") > 0) | (F.col("rank") == 0))
     owned = open_.groupBy("package", "name").agg(F.min_by("file", F.struct("rank", "file")).alias("file"))
     return owned.groupBy("package", "file").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
+
+
+def resolve_aliases(exports: DataFrame, aliases: DataFrame, declarations: DataFrame) -> DataFrame:
+    """Each export with the symbol it stands for and that symbol's first declaration with a name.
+
+    exports: export, symbol. aliases: symbol, target; a re-export may lead to
+    another alias, which is followed once more. declarations: symbol, ord, name.
+    Exports without such a declaration keep a null name.
+    """
+    step = aliases.groupBy("symbol").agg(F.min("target").alias("target"))
+    rows = exports
+    for _ in range(2):
+        rows = rows.join(step, "symbol", "left").select("export", F.coalesce("target", "symbol").alias("symbol"))
+    first = declarations.where("name is not null").groupBy("symbol").agg(F.min("ord").alias("ord"), F.min_by("name", "ord").alias("name"))
+    return rows.join(first, "symbol", "left").select("export", "symbol", "ord", "name")

@@ -2,42 +2,87 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.functions.text import whole_word
+from tessera.functions.text import masked, whole_word
+
+
+#: Files whose lines are made together, and characters of a cell of a file.
+TOGETHER, CELL = 64, 4096
 
 
 def lines(files: DataFrame) -> DataFrame:
     """Lines of all files: file, line (from 1), start (offset of the first character), text.
 
-    Starts are sums over the array of a file's lines, so that no shuffle is needed.
+    Every task splits its own files in time linear in their length; nothing is shuffled.
     """
-    parts = files.select("file", F.split("text", "\n", -1).alias("parts"))
-    each = parts.select("file", F.posexplode("parts").alias("n", "text"), "parts")
-    start = F.aggregate(F.slice("parts", F.lit(1), F.col("n")), F.lit(0).cast("long"), lambda a, x: a + F.length(x) + 1)
-    return each.select("file", (F.col("n") + 1).cast("long").alias("line"), start.alias("start"), F.regexp_replace("text", "\r$", "").alias("text"))
+    schema = T.StructType([files.schema["file"], *T.StructType.fromDDL("line long, start long, text string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, len(b), TOGETHER):
+                part = b.slice(k, TOGETHER)
+                split = [(t.as_py() or "").split("\n") for t in part.column(1)]
+                counts = np.array([len(x) for x in split])
+                sizes = [np.fromiter(map(len, x), np.int64, len(x)) + 1 for x in split]
+                starts = np.concatenate([np.cumsum(x) - x for x in sizes])
+                texts = pa.array([x.removesuffix("\r") for xs in split for x in xs], pa.string())
+                numbers = np.concatenate([np.arange(1, n + 1) for n in counts])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(part)), counts))), pa.array(numbers), pa.array(starts), texts], schema.names)
+
+    return files.select("file", "text").where("text is not null").mapInArrow(run, schema)
 
 
 def line_of(offsets: DataFrame, lines: DataFrame) -> DataFrame:
-    """Line and column, from 1, of offsets in files: an interval join within each file."""
+    """Line and column, from 1, of offsets in files: an interval join by cells of a file.
+
+    A line is in the cells that it reaches into, an offset in its own, so that
+    an offset meets the lines of one cell and not those of the file.
+    """
     ends = lines.select("file", "line", "start", (F.col("start") + F.length("text")).alias("end"))
-    found = offsets.join(ends, "file").where((F.col("offset") >= F.col("start")) & (F.col("offset") <= F.col("end")))
+    ends = ends.select("*", F.explode(F.sequence(F.expr(f"start div {CELL}L"), F.expr(f"end div {CELL}L"))).alias("__cell"))
+    found = offsets.withColumn("__cell", F.expr(f"offset div {CELL}L")).join(ends, ["file", "__cell"]).where("offset >= start and offset <= end")
     return found.select(*offsets.columns, "line", (F.col("offset") - F.col("start") + 1).cast("long").alias("col"))
 
 
+#: The sizes of cells for nodes, as powers of two.
+LEVELS = range(6, 42, 3)
+
+
 def node_at(offsets: DataFrame, nodes: DataFrame) -> DataFrame:
     """The innermost node at each offset: file, offset, node_id.
 
     nodes: file, node_id, pos, end (both included) and path, the ordinals of
     its ancestors and itself. Where two children touch, the later one wins, at
     every level: the greatest path in the order of arrays.
+
+    A node is in the cells it reaches into, two at most, of the least size that
+    holds its length. An offset looks into one cell of each size.
     """
-    found = offsets.join(nodes, "file").where((F.col("pos") <= F.col("offset")) & (F.col("offset") <= F.col("end")))
+    length = F.col("end") - F.col("pos")
+    level = F.lit(LEVELS[-1])
+    for k in reversed(LEVELS):
+        level = F.when(length < (1 << k), F.lit(k)).otherwise(level)
+    at = lambda place: F.call_function("shiftright", F.col(place), F.col("__level"))
+    held = nodes.withColumn("__level", level).select("*", F.explode(F.sequence(at("pos"), at("end"))).alias("__cell"))
+    asked = offsets.select("file", "offset", F.explode(F.array(*map(F.lit, LEVELS))).alias("__level")).withColumn("__cell", at("offset"))
+    found = asked.join(held, ["file", "__level", "__cell"]).where("pos <= offset and offset <= end")
     return found.groupBy("file", "offset").agg(F.max_by("node_id", "path").alias("node_id"))
 
 
+def rename_sites(files: DataFrame, old: str, new: str) -> DataFrame:
+    """`rename_preview` of the lines that have `old` outside of comments and strings."""
+    code = lines(files.withColumn("text", masked(F.col("text")))).where(F.col("text").rlike(whole_word(old))).select("file", "line")
+    return rename_preview(lines(files).join(code, ["file", "line"], "left_semi"), old, new)
+
+
 def rename_preview(lines: DataFrame, old: str, new: str, limit: int | None = None) -> DataFrame:
     """Lines with the word `old`, before and after renaming, in order of file and line."""
     word = whole_word(old)

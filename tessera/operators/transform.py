@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.text import spaceless, unwrapped
 
+#: Degrees of trust, least first, and types that match nothing.
 TRUST = ("unverified", "assignable", "verified")
 ERASED = ["any", "unknown"]
 
@@ -22,6 +23,30 @@ def grouped(seeds: DataFrame) -> DataFrame:
     return seeds.groupBy("callable").agg(F.min_by(F.struct(*rest), "ord").alias("r"), F.count("*").alias("n_seeds")).select("callable", "n_seeds", "r.*")
 
 
+def expanded(groups: DataFrame, signatures: DataFrame) -> DataFrame:
+    """`groups` (see `grouped`) with one row for each signature of a callable that
+    has several seeds; a callable with one seed, or without signatures, keeps it."""
+    own = [c for c in groups.columns if c not in ("callable", "n_seeds")]
+    more = signatures.select("callable", F.struct(*own).alias("__signature"))
+    rows = groups.withColumn("__of", F.when(F.col("n_seeds") > 1, F.col("callable"))).join(more.withColumnRenamed("callable", "__of"), "__of", "left")
+    return rows.select("callable", "n_seeds", F.coalesce("__signature", F.struct(*own)).alias("r")).select("callable", "n_seeds", "r.*")
+
+
+def resolve_types(asked: DataFrame, annotations: DataFrame, aliases: DataFrame, classes: DataFrame) -> DataFrame:
+    """What each text that is asked for means: asked, how, type.
+
+    A text that an annotation has, blanks at its ends aside, is its type; else
+    the first alias of that name; else the last class or interface of it; else
+    how and type are null. The three tables have name, ord and type.
+    """
+    rows = asked.select("asked", F.trim("asked").alias("name"))
+    for how, table, pick in (("annotation", annotations, F.min_by), ("alias", aliases, F.min_by), ("class", classes, F.max_by)):
+        rows = rows.join(table.groupBy("name").agg(pick("type", "ord").alias(how)), "name", "left")
+    kinds = ("annotation", "alias", "class")
+    how = F.coalesce(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in kinds])
+    return rows.select("asked", how.alias("how"), F.coalesce(*kinds).alias("type"))
+
+
 def accepts(params: Column, wanted: str, position: int | None = 0) -> Column:
     """The place, from 0, of the first parameter of the type, or null; any place if `position` is None."""
     if position is not None:
@@ -76,11 +101,12 @@ def trusted_top(ranked: DataFrame, verify, limit: int, batch: int = 8, least: st
     """The first `limit` callables in rank order whose status is at least `least`,
     and how many were verified.
 
-    Candidates are fetched in rank order and verified in small batches until
-    enough have passed, so that the work follows the limit and not the
-    candidates. `verify` takes a DataFrame of a batch and adds status.
+    Candidates are fetched in rank order and verified in batches, each twice the
+    one before, until enough have passed, so that the work follows the limit and
+    not the candidates. `verify` takes a DataFrame of a batch and adds status.
+    The ranking is made once and kept while batches are fetched.
     """
-    found: list = []
+    ranked, found = ranked.persist(), []  # type: DataFrame, list
     done, after = 0, None
     order = [F.desc("score"), *RANK]
     while limit > 0 and len(found) < limit:
@@ -91,8 +117,9 @@ def trusted_top(ranked: DataFrame, verify, limit: int, batch: int = 8, least: st
         some = verify(rows.orderBy(*order).limit(batch)).orderBy(*order).collect()  # `batch` rows
         if not some:
             break
-        done, after = done + len(some), some[-1]
+        done, after, batch = done + len(some), some[-1], 2 * batch
         found += [r for r in some if TRUST.index(r["status"]) >= TRUST.index(least)]
+    ranked.unpersist()
     return found[:limit], done
 
 

@@ -496,3 +496,87 @@ def doctor(t: Tables) -> DataFrame:
     names = ("part", "orders", "lineitem", "events", "documents")
     rows = [("spark", t.spark.version)] + [(f"table {n}", f"{len(getattr(t, n).columns)} columns") for n in names]
     return t.spark.createDataFrame(rows, "item string, value string")
+
+
+# Inheritance, aliases, masked texts, overloads, types that are asked for
+
+
+def type_members(t: Tables) -> DataFrame:
+    """Members of regions, nations and customers as types; some customers name themselves."""
+    region = t.region.select(F.concat(F.lit("r"), "r_regionkey").alias("type_id"), F.lit("name").alias("member"), F.col("r_name").alias("member_type"))
+    nation = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("type_id"), F.explode(F.array(F.lit("name"), F.lit("code"))).alias("member"), F.col("n_name").alias("member_type"))
+    customer = t.customer.where("c_custkey % 3 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("type_id"), F.lit("name").alias("member"), F.col("c_name").alias("member_type"))
+    own = t.customer.select(F.concat(F.lit("c"), "c_custkey").alias("type_id"), F.lit("segment").alias("member"), F.col("c_mktsegment").alias("member_type"))
+    return region.withColumn("member", F.lit("region")).union(nation).union(customer).union(own)
+
+
+@query("""
+WITH m AS (SELECT 'r' || r_regionkey AS type_id, 'region' AS member, r_name AS member_type FROM region
+ UNION ALL SELECT 'n' || n_nationkey, unnest(['name', 'code']), n_name FROM nation
+ UNION ALL SELECT 'c' || c_custkey, 'name', c_name FROM customer WHERE c_custkey % 3 = 0
+ UNION ALL SELECT 'c' || c_custkey, 'segment', c_mktsegment FROM customer),
+b AS (SELECT 'n' || n_nationkey AS type_id, 'r' || n_regionkey AS base_id FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
+a AS (SELECT type_id, type_id AS base_id, 0 AS depth FROM m UNION SELECT type_id, base_id, 1 FROM b
+ UNION SELECT x.type_id, y.base_id, 2 FROM b x JOIN b y ON x.base_id = y.type_id)
+SELECT a.type_id, member, arg_min(member_type, depth) AS member_type, CAST(min(depth) AS BIGINT) AS depth FROM a JOIN m ON m.type_id = base_id GROUP BY a.type_id, member""")
+def members_inherited(t: Tables) -> DataFrame:
+    edges = t.edges().where("src like 'c%' or src like 'n%'")
+    return members.inherited(type_members(t), edges.select(F.col("src").alias("type_id"), F.col("dst").alias("base_id")))
+
+
+@query(f"""
+WITH a AS (SELECT p_partkey AS symbol, p_partkey // 2 AS target FROM part WHERE p_size % 2 = 0 AND p_partkey > 3),
+d AS (SELECT member AS symbol, min(type_id) AS ord, arg_min('q' || quantity, type_id) AS name FROM {MEMBERS} WHERE quantity >= 10 GROUP BY member),
+h AS (SELECT p_partkey AS export, coalesce(a.target, p_partkey) AS symbol FROM part LEFT JOIN a ON a.symbol = p_partkey),
+s AS (SELECT export, coalesce(a.target, h.symbol) AS symbol FROM h LEFT JOIN a ON a.symbol = h.symbol)
+SELECT export, s.symbol, ord, name FROM s LEFT JOIN d ON d.symbol = s.symbol""")
+def alias_resolved(t: Tables) -> DataFrame:
+    exports = t.part.select(F.col("p_partkey").alias("export"), F.col("p_partkey").alias("symbol"))
+    aliases = t.part.where("p_size % 2 = 0 and p_partkey > 3").select(F.col("p_partkey").alias("symbol"), F.expr("p_partkey div 2").alias("target"))
+    name = F.when(F.col("quantity") >= 10, F.concat(F.lit("q"), F.col("quantity").cast("string")))
+    return catalog.resolve_aliases(exports, aliases, t.members().select(F.col("member").alias("symbol"), F.col("type_id").alias("ord"), name.alias("name")))
+
+
+QUOTED = """(SELECT doc_id, replace(replace(text, ' the ', ' "the" the '), ' and ', ' /* the ' || chr(10) || ' and */ ') AS text FROM documents)"""
+PIECES_SQL, QUIET_SQL = (x.replace("'", "''") for x in (text.PIECES, text.QUIET))
+
+
+@query(f"""
+WITH m AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '{PIECES_SQL}'), lambda x: CASE WHEN regexp_matches(x, '{QUIET_SQL}') THEN regexp_replace(x, '[^\\n]', ' ', 'g') ELSE x END), '') AS text FROM {QUOTED}),
+l AS (SELECT o.doc_id AS file, unnest(range(1, len(string_split(o.text, chr(10))) + 1)) AS line, regexp_replace(unnest(string_split(o.text, chr(10))), '\\r$', '') AS text, unnest(string_split(m.text, chr(10))) AS code
+      FROM {QUOTED} o JOIN m USING (doc_id))
+SELECT file, line, trim(text) AS before, regexp_replace(trim(text), '\\bthe\\b', 'THE_ONE', 'g') AS after FROM l WHERE regexp_matches(code, '\\bthe\\b')""")
+def rename_masked(t: Tables) -> DataFrame:
+    files = t.files().withColumn("text", F.replace(F.replace("text", F.lit(" the "), F.lit(' "the" the ')), F.lit(" and "), F.lit(" /* the \n and */ ")))
+    return positions.rename_sites(files, "the", "THE_ONE")
+
+
+@query("""
+WITH c AS (SELECT DISTINCT l_partkey AS callable, l_suppkey AS ord, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
+g AS (SELECT callable, count(*) AS n_seeds FROM c GROUP BY callable)
+SELECT callable, n_seeds, name, ord FROM g JOIN c USING (callable)""")
+def transform_overloads(t: Tables) -> DataFrame:
+    seeds = t.callables().select("callable", "name", "ord")
+    return transform.expanded(transform.grouped(seeds), seeds).select("callable", "n_seeds", "name", "ord")
+
+
+@query("""
+WITH q AS (SELECT ' ' || p_type || ' ' AS asked FROM part UNION SELECT p_brand FROM part UNION SELECT n_name FROM nation UNION SELECT 'nothing'),
+a AS (SELECT p_type AS name, arg_min(p_name, p_partkey) AS type FROM part GROUP BY p_type),
+s AS (SELECT p_brand AS name, arg_min(p_name, p_partkey) AS type FROM part GROUP BY p_brand),
+c AS (SELECT n_name AS name, arg_max('N' || n_nationkey, n_nationkey) AS type FROM nation GROUP BY n_name)
+SELECT asked, CASE WHEN a.type IS NOT NULL THEN 'annotation' WHEN s.type IS NOT NULL THEN 'alias' WHEN c.type IS NOT NULL THEN 'class' END AS how, coalesce(a.type, s.type, c.type) AS type
+FROM q LEFT JOIN a ON a.name = trim(asked) LEFT JOIN s ON s.name = trim(asked) LEFT JOIN c ON c.name = trim(asked)""")
+def transform_resolve_type(t: Tables) -> DataFrame:
+    asked = t.part.select(F.concat(F.lit(" "), "p_type", F.lit(" ")).alias("asked")).union(t.part.select("p_brand")).union(t.nation.select("n_name")).union(t.nation.limit(1).select(F.lit("nothing"))).distinct()
+    named = lambda key: t.part.select(F.col(key).alias("name"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("type"))
+    classes = t.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("ord"), F.concat(F.lit("N"), "n_nationkey").alias("type"))
+    return transform.resolve_types(asked, named("p_type"), named("p_brand"), classes)
+
+
+@query("""
+SELECT o_orderkey AS item, CASE WHEN n = 0 THEN '' WHEN p = s THEN p ELSE p || ',' || s END AS next_steps FROM (
+  SELECT o_orderkey, 1 AS n, CASE WHEN o_orderkey % 2 = 0 THEN 'inspect' ELSE 'search' END AS p, CASE WHEN o_orderkey % 3 = 0 THEN 'search' ELSE 'inspect' END AS s FROM orders)""")
+def next_steps(t: Tables) -> DataFrame:
+    first, second = F.when(F.col("o_orderkey") % 2 == 0, "inspect").otherwise("search"), F.when(F.col("o_orderkey") % 3 == 0, "search").otherwise("inspect")
+    return t.orders.select(F.col("o_orderkey").alias("item"), F.array_join(text.ordered_set(F.array(first, F.lit(None).cast("string"), second, first)), ",").alias("next_steps"))
