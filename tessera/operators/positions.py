@@ -77,9 +77,14 @@ def node_at(offsets: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.groupBy("file", "offset").agg(F.max_by("node_id", "path").alias("node_id"))
 
 
+def code_lines(files: DataFrame) -> DataFrame:
+    """`lines` with blanks in place of comments and strings."""
+    return lines(files.withColumn("text", masked(F.col("text"))))
+
+
 def rename_sites(files: DataFrame, old: str, new: str) -> DataFrame:
     """`rename_preview` of the lines that have `old` outside of comments and strings."""
-    code = lines(files.withColumn("text", masked(F.col("text")))).where(F.col("text").rlike(whole_word(old))).select("file", "line")
+    code = code_lines(files).where(F.col("text").rlike(whole_word(old))).select("file", "line")
     return rename_preview(lines(files).join(code, ["file", "line"], "left_semi"), old, new)
 
 
@@ -92,10 +97,10 @@ def rename_preview(lines: DataFrame, old: str, new: str, limit: int | None = Non
     return out if limit is None else out.orderBy("file", "line").limit(limit)
 
 
-def text_hits(texts: DataFrame, affected: DataFrame, old: str, most: int = 20) -> DataFrame:
-    """Strings and comments of affected files that have the word: at most `most`, in order."""
+def text_hits(texts: DataFrame, affected: DataFrame, old: str, most: int | None = 20) -> DataFrame:
+    """Strings and comments of affected files that have the word: at most `most` in order, or all."""
     hits = texts.join(affected.select("file").distinct(), "file", "left_semi").where(F.col("text").rlike(whole_word(old)))
-    return hits.orderBy("file", "line").limit(most)
+    return hits if most is None else hits.orderBy("file", "line").limit(most)
 
 
 def rename_summary(sites: DataFrame, notes: DataFrame) -> DataFrame:

@@ -580,3 +580,10 @@ SELECT o_orderkey AS item, CASE WHEN n = 0 THEN '' WHEN p = s THEN p ELSE p || '
 def next_steps(t: Tables) -> DataFrame:
     first, second = F.when(F.col("o_orderkey") % 2 == 0, "inspect").otherwise("search"), F.when(F.col("o_orderkey") % 3 == 0, "search").otherwise("inspect")
     return t.orders.select(F.col("o_orderkey").alias("item"), F.array_join(text.ordered_set(F.array(first, F.lit(None).cast("string"), second, first)), ",").alias("next_steps"))
+
+
+@query("""
+SELECT event_id AS ord, array_to_string(CASE event_type WHEN 'error' THEN ['t' || user_id, 'u'] WHEN 'view' THEN ['v'] ELSE [] END, ',') AS types,
+       CASE WHEN event_type = 'view' THEN 'p' || user_id ELSE '' END AS properties FROM events""")
+def error_evidence(t: Tables) -> DataFrame:
+    return diagnostics.message_evidence(t.diagnostics()).select("ord", F.array_join("types", ",").alias("types"), F.array_join("properties", ",").alias("properties"))

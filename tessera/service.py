@@ -49,7 +49,7 @@ class Project:
     """The handlers of all commands for the files under `root`."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root, self.folder = spark, root, None
         self.workspace = Workspace(spark, self.facts)
 
     def facts(self) -> dict[str, DataFrame]:
@@ -63,15 +63,33 @@ class Project:
         }
 
     def table(self, name: str) -> DataFrame:
-        return self.workspace.table(name)
+        """A table of facts, of the package that the payload names if it names one."""
+        found = self.workspace.table(name)
+        return found.where(F.col("file").startswith(self.folder)) if self.folder and "file" in found.columns else found
 
     def handlers(self) -> dict[str, Any]:
-        return {c: getattr(self, c.replace("-", "_")) for c in COMMANDS}
+        def scoped(name: str):
+            def run(p: dict) -> Any:
+                self.folder = self.folder_of(p["package"]) if "package" in p else None
+                return getattr(self, name)(p)
+
+            return run
+
+        return {c: scoped(c.replace("-", "_")) for c in COMMANDS}
+
+    def folder_of(self, package: str) -> str | None:
+        """The folder of a package that is named by its name or the end of it; none for the root."""
+        if package in (ROOT, self.root):
+            return None
+        found = typescript.packages(self.spark, self.root).where(F.col("name").endswith(package)).orderBy(F.col("name") != package, "name", "folder").limit(1).collect()
+        if not found:
+            raise NotFound(f"no package {package}")
+        return found[0]["folder"]
 
     # Catalog
 
     def packages(self, p: dict) -> Any:
-        return [{"name": ROOT, "path": self.root}]
+        return [{"name": ROOT, "path": self.root}, *listed(typescript.packages(self.spark, self.root).select("name", F.col("folder").alias("path")).orderBy("name", "path"))]
 
     def symbols(self, p: dict) -> Any:
         limit = p.get("limit", SYMBOLS)
@@ -88,8 +106,16 @@ class Project:
         return plain(found[0])
 
     def members_of(self, file: str, name: str) -> list[dict[str, Any]]:
-        own = self.table("members").where((F.col("file") == file) & (F.col("type_name") == name)).withColumn("type_id", F.lit(0))
-        return listed(members.shown_members(own).orderBy("ord").select("name", "type", "optional", "readonly"))
+        """Members of a type with those it inherits, its own first."""
+        bases = self.table("bases").select(F.col("type_name").alias("type_id"), F.col("base").alias("base_id"))
+        every, named = self.table("members"), F.col("type_name") == name
+        # of types with one name, this one is meant; of bases any
+        every = every.where(~named | (F.col("file") == file)).select(F.col("type_name").alias("type_id"), F.col("name").alias("member"), "ord", "type", "optional", "readonly")
+        if bases.where(F.col("type_id") == name).isEmpty():
+            found = every.where(F.col("type_id") == name).withColumn("depth", F.lit(0))
+        else:
+            found = members.inherited(every, bases).where(F.col("type_id") == name)
+        return listed(members.shown_members(found).orderBy("depth", "ord", "member").select(F.col("member").alias("name"), "type", "optional", "readonly"))
 
     def info(self, p: dict) -> Any:
         s = self.symbol(p["symbol"])
@@ -179,10 +205,15 @@ class Project:
 
     def diagnostics(self, p: dict) -> Any:
         rows = messages.distinct([self.table("diagnostics")], ["file", "line", "code", "message"]).select("file", "line", "code", "message")
-        found = listed(rows.orderBy("file", "line", "code", "message"))
+        order = ["file", "line", "code", "message"]
         if not p.get("explain", False):
-            return found
-        return {"diagnostics": [d | self.why_error(d) for d in found[:10]], "total": len(found), "truncated": len(found) > 10}
+            return listed(rows.orderBy(*order))
+        first = listed(messages.first_with_total(self.explained(rows), order))
+        total = first[0]["total"] if first else 0
+        return {"diagnostics": [{k: v for k, v in d.items() if k not in ("total", "truncated")} for d in first], "total": total, "truncated": total > 10}
+
+    def explained(self, rows: DataFrame) -> DataFrame:
+        return messages.message_evidence(messages.message_parts(rows)).withColumn("explanation", messages.explanation(F.col("code")))
 
     def why_error(self, p: dict) -> Any:
         rows = self.table("diagnostics").select("file", "line", "code", "message")
@@ -192,7 +223,7 @@ class Project:
             for k in ("file", "line", "code"):
                 if k in p:
                     rows = rows.where(F.col(k).endswith(p[k]) if k == "file" else F.col(k) == p[k])
-        one = messages.message_parts(rows.orderBy("file", "line", "code").limit(1)).withColumn("explanation", messages.explanation(F.col("code"))).collect()
+        one = self.explained(rows.orderBy("file", "line", "code").limit(1)).collect()
         if not one:
             raise NotFound("no such diagnostic")
         return plain(one[0])
@@ -201,7 +232,8 @@ class Project:
 
     def related(self, p: dict) -> Any:
         name = self.symbol(p["symbol"])["name"]
-        sites = self.table("lines").where(F.col("text").rlike(whole_word(name)) & ~F.col("text").rlike(r"^\s*import\b|" + typescript.DECLARATION.split("(interface")[0] + rf"\w+\s+{name}\b"))
+        sites = positions.code_lines(self.table("files")).where(F.col("text").rlike(whole_word(name)) & ~F.col("text").rlike(r"^\s*import\b|" + typescript.DECLARATION.split("(interface")[0] + rf"\w+\s+{name}\b"))
+        sites = self.table("lines").join(sites.select("file", "line"), ["file", "line"], "left_semi")
         incoming = positions.capped(sites.select("file", "line", "text"), "file", ["line"], SITES)
         outgoing = self.table("edges").where(F.col("src") == name)
         return {"symbol": name, "incoming": listed(incoming.orderBy("file", "line").select("file", "line", F.trim("text").alias("text"))), "outgoing": listed(outgoing.orderBy("dst", "context").select("dst", "context"))}
@@ -218,13 +250,13 @@ class Project:
     def refactor_preview(self, p: dict) -> Any:
         name = self.symbol(p["symbol"])["name"]
         rows = self.table("lines")
-        hits = positions.rename_preview(rows, name, p["to"])
+        hits = positions.rename_sites(self.table("files"), name, p["to"])
         sites = hits.select("file", "line", F.col("file").endswith(".d.ts").alias("is_declaration_file"))
         quoted = F.array_join(F.regexp_extract_all("text", F.lit(QUOTED), F.lit(0)), " ")
         prose = rows.select("file", "line", F.concat_ws(" ", F.regexp_extract("text", COMMENT, 0), quoted).alias("text"))
-        notes = positions.text_hits(prose, sites, name, NOTES)
+        notes = positions.text_hits(prose, sites, name, None)
         total = positions.rename_summary(sites, notes).first()
-        return plain(total) | {"changes": listed(hits.orderBy("file", "line").limit(SITES)), "notes": listed(notes)}
+        return plain(total) | {"changes": listed(hits.orderBy("file", "line").limit(SITES)), "notes": listed(notes.orderBy("file", "line").limit(NOTES))}
 
     # Transforms and contracts
 

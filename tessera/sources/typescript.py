@@ -18,7 +18,7 @@ NAME = r"[A-Za-z_$][\w$]*"
 DECLARATION = rf"^(export\s+)?(default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(interface|type|class|enum|function|const|let|var)\*?\s+({NAME})"
 BODY = rf"(?:interface|type)\s+({NAME})[^{{}};=]*=?\s*\{{([^{{}}]*)\}}"
 NESTED = rf"(?:interface|type)\s+({NAME})[^{{}};=]*=?\s*\{{[^{{}}]*\{{"
-EXTENDS = rf"(?:interface|class)\s+({NAME})[^{{}}]*?\bextends\s+({NAME})"
+EXTENDS = rf"(?:interface|class)\s+({NAME})[^{{}}]*?\bextends\s+([^{{}}]+?)\s*(?:\bimplements\b[^{{}}]*)?\{{"
 MEMBER = rf"^\s*(readonly\s+)?({NAME})(\?)?\s*:\s*(.+?)\s*$"
 COMMENT = r"(/\*\*(?:[^*]|\*(?!/))*\*/\s*)?"
 FUNCTION = rf"{COMMENT}\b(export\s+)?(?:default\s+)?(?:async\s+)?function\s+({NAME})\s*(?:<[^>()]*>)?\(([^()]*)\)\s*:\s*([^{{;]+?)\s*[{{;]"
@@ -110,6 +110,16 @@ def diagnostics(files: DataFrame) -> DataFrame:
 
 
 def bases(files: DataFrame) -> DataFrame:
-    """file, type_name, base: the first type that an interface or class extends."""
+    """file, type_name, base: the types that an interface or class extends; their arguments are left out."""
     found = files.select("file", F.explode(F.expr(f"regexp_extract_all(text, r'{EXTENDS}', 0)")).alias("whole"))
-    return found.select("file", F.regexp_extract("whole", EXTENDS, 1).alias("type_name"), F.regexp_extract("whole", EXTENDS, 2).alias("base"))
+    named = F.regexp_extract("whole", EXTENDS, 2)
+    for _ in range(3):  # arguments within arguments
+        named = F.regexp_replace(named, "<[^<>]*>", "")
+    rows = found.select("file", F.regexp_extract("whole", EXTENDS, 1).alias("type_name"), F.explode(F.split(named, ",")).alias("base"))
+    return rows.select("file", "type_name", F.regexp_extract("base", rf"^\s*({NAME})\s*$", 1).alias("base")).where("base <> ''")
+
+
+def packages(spark: SparkSession, path: str) -> DataFrame:
+    """name and folder of each package.json with a name under a folder, nothing from node_modules."""
+    found = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="package.json").select(F.col("_metadata.file_path").alias("file"), F.get_json_object("value", "$.name").alias("name"))
+    return found.where(~F.col("file").contains("/node_modules/") & F.col("name").isNotNull()).select("name", F.regexp_replace("file", r"/package\.json$", "/").alias("folder"))
