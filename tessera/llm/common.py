@@ -64,6 +64,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a partition of a narrow table, about, where there are few.
+PART_ROWS = 50_000
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, a narrow table of about so many rows, in no more partitions than they fill."""
+    return df.coalesce(rows // PART_ROWS + 1)
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """`df` written as a Parquet table in the shared folder, and read again."""
     spark = df.sparkSession

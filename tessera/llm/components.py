@@ -5,25 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, packed
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, rows: int) -> DataFrame:
     """Links every greater neighbour of a node to the least of its neighbours and itself."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+    return packed(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")), rows).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, rows: int) -> DataFrame:
     """Links every smaller neighbour of a node, and the node, to the least of them."""
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
     down = edges.join(least, "b").where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    return down.union(least.select(F.col("m").alias("a"), "b")).distinct()
-
-
-#: Edges of a partition, about, where there are few.
-PART_EDGES = 50_000
+    return packed(down.union(least.select(F.col("m").alias("a"), "b")), rows).distinct()
 
 
 def settled(edges: DataFrame) -> bool:
@@ -44,9 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = cut(edges)
     while rows := edges.count():
-        parts = rows // PART_EDGES + 1
+        edges = packed(edges, rows)
         if settled(edges):
             break
-        edges = cut(large_star(edges.coalesce(parts)).coalesce(parts))
-        edges = cut(small_star(edges).coalesce(parts))
+        edges = cut(packed(large_star(edges, rows), rows))
+        edges = cut(packed(small_star(edges, rows), rows))
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).distinct()
