@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bitsliced, byte_bpe, html_extract, language_id, mixing, quality_model, quality_rules, sharding, simhash, token_files
+from tessera.llm import bitsliced, byte_bpe, clustering, html_extract, language_id, line_dedup, mixing, quality_model, quality_rules, repetition, sharding, simhash, token_files
 from tessera.llm.common import shared_dir, table
 
 
@@ -63,9 +63,28 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.model())
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.digest(docs, line_dedup.keep_bitmaps(docs))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.periodic_runs(table(spark, sf_dir, "documents"), change=True)
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+NUMBERED = (
+    op1_simhash, op2_quality_model, op3_token_files, op4_mixing, op5_bitsliced, op6_quality_rules, op7_sharding, op8_language_id, op9_byte_bpe, op10_html_extract,
+    op11_line_dedup, op12_periodic_runs, op13_clustering,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality_model, op3_token_files, op4_mixing, op5_bitsliced, op6_quality_rules, op7_sharding, op8_language_id, op9_byte_bpe, op10_html_extract)}
+    return {f.__name__: f for f in NUMBERED}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_line_dedup": line_dedup.SQL, "op13_clustering": clustering.sql()}

@@ -30,5 +30,5 @@ def test_stages(spark, tmp_path):
 
 def test_registered(spark):
     names = list(__spark_entry__.queries())
-    assert "pipeline" in names and [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
+    assert "pipeline" in names and [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 14)]
     assert json.dumps(names) and np.__version__
