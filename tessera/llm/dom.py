@@ -8,11 +8,13 @@ from collections import Counter
 
 import numpy as np
 
-MARKUP = re.compile(
-    r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*+)[^>]*+>?|<([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*?)>""", re.DOTALL
-)
+#: Where markup begins: a comment, a declaration or instruction, or a tag with its name.
+MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+#: What matters within a tag: its end, and quotes.
+INSIDE = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label|data-part)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 TOKEN = re.compile(r"[a-z]+")
+UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 #: Elements that end a run of text; elements whose text is not part of a page.
 BLOCKS = frozenset(
@@ -45,6 +47,35 @@ TAG_AT = {t: i for i, t in enumerate(TAGS)}
 ZONES = {"article": 0, "main": 0, "nav": 1, "menu": 1, "header": 2, "footer": 3, "aside": 4, "form": 5, "fieldset": 5, "figure": 6, "table": 7}
 
 
+class Scanner:
+    """Finds the ends of markup, in time linear in the page: what is once found
+    to be nowhere behind a place isn't looked for again."""
+
+    def __init__(self, text: str):
+        self.text, self.none_behind = text, {}
+
+    def find(self, what: str, at: int) -> int:
+        """The first place of `what` from `at` on, or -1."""
+        if at >= self.none_behind.get(what, len(self.text) + 1):
+            return -1
+        found = self.text.find(what, at)
+        if found < 0:
+            self.none_behind[what] = at
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place of the `>` that ends a tag; quoted ones don't. A quote that
+        isn't closed is a character like any other. -1 if the page is cut off."""
+        while m := INSIDE.search(self.text, at) if self.find(">", at) >= 0 else None:
+            if m[0] == ">":
+                return m.start()
+            closed = self.find(m[0], m.end())
+            if closed < 0:
+                return self.find(">", m.end())
+            at = closed + 1
+        return -1
+
+
 class Page:
     """Blocks in the order of the page. A block has a tag, a parent, hints, and
     either children or runs of text; text beside children is a child of its own."""
@@ -81,7 +112,7 @@ class Page:
 
     def read(self, text: str) -> None:
         stack, run, run_links, in_link, at, end = [0], [], 0, False, 0, len(text)
-        tag_of, lower, still_open = self.tag, None, Counter()
+        tag_of, hidden, still_open = self.tag, None, Counter()
 
         def shut(k: int) -> None:
             """Closes the blocks from place k of the stack on."""
@@ -97,6 +128,7 @@ class Page:
                     self.words[node], self.links[node] = words, run_links
                 run, run_links = [], 0
 
+        scan = Scanner(text)
         while at < end:
             m = MARKUP.search(text, at)
             piece = text[at : m.start()] if m else text[at:]
@@ -106,10 +138,18 @@ class Page:
                     run_links += len(piece)
             if not m:
                 break
-            at = m.end()
-            closing, opening = m.group(1), m.group(2)
-            if closing:
-                name = closing.lower()
+            comment, declaration, slash, name = m.groups()
+            if comment:
+                over = scan.find("-->", m.end())
+                at = end if over < 0 else over + 3
+                continue
+            over = scan.find(">", m.end()) if declaration or slash else scan.tag_end(m.end())
+            attributes = text[m.end() : over] if over >= 0 else ""
+            at = end if over < 0 else over + 1
+            if declaration or over < 0:
+                continue
+            name = name.lower()
+            if slash:
                 if name == "a":
                     in_link = False
                 elif still_open[name] > 0:
@@ -118,80 +158,80 @@ class Page:
                     while tag_of[stack[k]] != name:
                         k -= 1
                     shut(k)
-            elif opening:
-                name = opening.lower()
-                if name in BLOCKS:
-                    flush()
-                    if name in ("body", "html", "hr"):
-                        continue
-                    if tag_of[stack[-1]] == "p":
-                        shut(len(stack) - 1)
-                    if any(still_open[x] > 0 for x in CLOSED_BY.get(name, ())):
-                        for k in range(len(stack) - 1, 0, -1):
-                            if tag_of[stack[k]] in ROOTS.get(name, ()):
-                                break
-                            if tag_of[stack[k]] in CLOSED_BY[name]:
-                                shut(k)
-                    stack.append(self.open(name, stack[-1], m.group(3)))
-                    still_open[name] += 1
-                elif name in HIDDEN and not m.group(3).endswith("/"):
-                    lower = text.lower() if lower is None else lower
-                    over = lower.find(f"</{name}", at)
-                    if len(lower) != len(text):
-                        over = (x.start() if (x := re.compile(f"</{name}", re.IGNORECASE).search(text, at)) else -1)
-                    at = end if over < 0 and name in ("script", "style", "textarea", "title") else max(over, at)
-                elif name == "a":
-                    in_link = True
-                elif name in ("br", "img", "input"):
-                    run.append(" ")
+            elif name in BLOCKS:
+                flush()
+                if name in ("body", "html", "hr"):
+                    continue
+                if tag_of[stack[-1]] == "p":
+                    shut(len(stack) - 1)
+                if any(still_open[x] > 0 for x in CLOSED_BY.get(name, ())):
+                    for k in range(len(stack) - 1, 0, -1):
+                        if tag_of[stack[k]] in ROOTS.get(name, ()):
+                            break
+                        if tag_of[stack[k]] in CLOSED_BY[name]:
+                            shut(k)
+                stack.append(self.open(name, stack[-1], attributes))
+                still_open[name] += 1
+            elif name in HIDDEN and not attributes.endswith("/"):
+                if hidden is None:
+                    hidden = Scanner(text.translate(UPPER))
+                over = hidden.find(f"</{name}", at)
+                at = end if over < 0 and name in ("script", "style", "textarea", "title") else max(over, at)
+            elif name == "a":
+                in_link = True
+            elif name in ("br", "img", "input"):
+                run.append(" ")
         flush()
 
 
-def hierarchy(page: Page) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of a page's nodes, and their parents."""
-    n = len(page.tag)
-    parent = np.array(page.parent)
-    own = np.zeros((n, 6))  # characters, words, characters in links, stops, text runs, elements
-    for i in range(n):
-        words = page.words[i]
-        if words:
-            line = " ".join(words)
-            own[i] = len(line), len(words), min(page.links[i], len(line)), line.count(".") + line.count(",") + line.count("!") + line.count("?"), 1, 0
-        else:
-            own[i, 5] = 1
-    total, depth = own.copy(), np.zeros(n)
-    links = page.parent
-    for i in range(n - 1, 0, -1):
-        total[links[i]] += total[i]
-    zone, inherited = np.zeros((n, 8)), np.array(page.hints)
-    up, kind = inherited.copy(), np.zeros((n, len(TAGS) + 1))
-    for i in range(n):
-        tag, p = page.tag[i], links[i]
-        kind[i, TAG_AT.get(tag, len(TAGS))] = 1
-        if i:
-            depth[i] = depth[p] + 1
-            zone[i] = zone[p]
-            up[i] |= up[p]
-        if tag in ZONES:
-            zone[i, ZONES[tag]] = 1
-    above = np.where(parent < 0, 0, parent)
-    siblings = np.bincount(above[1:], minlength=n) if n > 1 else np.zeros(n)
-    rank, seen = np.zeros(n), {}
-    for i in range(1, n):
-        rank[i] = seen.get(links[i], 0)
-        seen[links[i]] = rank[i] + 1
-    before = np.cumsum(own[:, 0]) - own[:, 0]
-    chars, words = total[:, 0], np.maximum(total[:, 1], 1)
-    mates = np.maximum(siblings[above], 1)
-    whole = max(chars[0], 1)
-    bits = np.arange(len(HINTS))
-    columns = [
-        np.log1p(chars), np.log1p(total[:, 1]), total[:, 2] / np.maximum(chars, 1), total[:, 3] / words, np.log1p(total[:, 4]), np.log1p(total[:, 5]),
-        chars / (total[:, 5] + total[:, 4] + 1), chars / np.maximum(total[:, 4], 1), chars / words, chars / np.maximum(chars[above], 1), chars / whole,
-        before / whole, depth, rank, rank / mates, mates, np.log1p(chars[above] / mates), chars * mates / np.maximum(chars[above], 1),
-    ]
-    own_hints = (np.array(page.hints)[:, None] >> bits) & 1
-    return np.column_stack([*columns, own_hints, (up[:, None] >> bits) & 1, zone, kind]), parent
+class Features:
+    """Features of a page's nodes: some numbers for each node, from which rows of
+    the whole matrix are made when they are asked for."""
+
+    def __init__(self, page: Page):
+        n = len(page.tag)
+        self.n, self.parent = n, np.array(page.parent)
+        own = np.zeros((n, 6))  # characters, words, characters in links, stops, text runs, elements
+        for i in range(n):
+            words = page.words[i]
+            if words:
+                line = " ".join(words)
+                own[i] = len(line), len(words), min(page.links[i], len(line)), line.count(".") + line.count(",") + line.count("!") + line.count("?"), 1, 0
+            else:
+                own[i, 5] = 1
+        total, depth, links = own.copy(), np.zeros(n), page.parent
+        for i in range(n - 1, 0, -1):
+            total[links[i]] += total[i]
+        self.hints, self.zones = np.array(page.hints), np.zeros(n, np.int64)
+        self.up, self.kinds = self.hints.copy(), np.array([TAG_AT.get(t, len(TAGS)) for t in page.tag])
+        for i in range(n):
+            p = links[i]
+            if i:
+                depth[i] = depth[p] + 1
+                self.zones[i] = self.zones[p]
+                self.up[i] |= self.up[p]
+            if page.tag[i] in ZONES:
+                self.zones[i] |= 1 << ZONES[page.tag[i]]
+        above = np.where(self.parent < 0, 0, self.parent)
+        siblings = np.bincount(above[1:], minlength=n) if n > 1 else np.zeros(n)
+        rank, seen = np.zeros(n), {}
+        for i in range(1, n):
+            rank[i] = seen.get(links[i], 0)
+            seen[links[i]] = rank[i] + 1
+        before = np.cumsum(own[:, 0]) - own[:, 0]
+        self.chars, words = total[:, 0], np.maximum(total[:, 1], 1)
+        chars, mates, whole = self.chars, np.maximum(siblings[above], 1), max(total[0, 0], 1)
+        self.numbers = [
+            np.log1p(chars), np.log1p(total[:, 1]), total[:, 2] / np.maximum(chars, 1), total[:, 3] / words, np.log1p(total[:, 4]), np.log1p(total[:, 5]),
+            chars / (total[:, 5] + total[:, 4] + 1), chars / np.maximum(total[:, 4], 1), chars / words, chars / np.maximum(chars[above], 1), chars / whole,
+            before / whole, depth, rank, rank / mates, mates, np.log1p(chars[above] / mates), chars * mates / np.maximum(chars[above], 1),
+        ]
+
+    def rows(self, begin: int, end: int) -> np.ndarray:
+        at = slice(begin, end)
+        bits = np.arange(len(HINTS))
+        one_hot = (self.kinds[at, None] == np.arange(len(TAGS) + 1)).astype(float)
+        return np.column_stack([*(c[at] for c in self.numbers), (self.hints[at, None] >> bits) & 1, (self.up[at, None] >> bits) & 1, (self.zones[at, None] >> np.arange(8)) & 1, one_hot])
 
 
 def decide(margins: np.ndarray, parent: np.ndarray, chars: np.ndarray) -> np.ndarray:

@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.boosting import Forest, grow
-from tessera.llm.dom import HINTS, Page, decide, hierarchy
+from tessera.llm.common import slices
+from tessera.llm.dom import HINTS, Features, Page, decide
 
-#: Made-up pages that the trees are fitted on, and the pages scored together.
-FIT_PAGES, TOGETHER = 900, 64
+#: Made-up pages that the trees are fitted on, and nodes whose margins are made together.
+FIT_PAGES, TOGETHER = 1500, 8192
 #: Where the fitted trees are.
 STORED = Path(__file__).with_name("html_forest.json")
 
 SYLLABLES = "an be ca de en fo ga hi in jo ka la mo ne os pi qu re sa ti un ve wo xi yo za ing tion ment ble heit keit ción eau ère ß ü ñ".split()
+#: Names that tell nothing, put together from these; none is a word of HINTS.
+PLAIN = "x1 b2 row col wrap inner outer box block item unit cell grid flex group layout module component node zone area slot panel a1 c9 z".split()
 MARKS = ("", "", "", "", "", "***", "!!", " |", "%%%", "$$$")
 
 
@@ -34,6 +37,8 @@ class Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         self.mark = self.r.choice(MARKS)
+        #: how many of a page's names tell nothing
+        self.unnamed = self.r.choice((0.0, 0.15, 0.3))
 
     def word(self) -> str:
         return "".join(self.r.choice(SYLLABLES) for _ in range(self.r.choice((1, 1, 2, 2, 3, 4))))
@@ -54,8 +59,9 @@ class Maker:
         return text.replace("&", "&amp;")
 
     def named(self, kind: str) -> str:
-        if self.r.random() < 0.25:
-            return self.r.choice(("", ' class="x1"', ' id="b2"', ' class="row wrap"'))
+        if self.r.random() < self.unnamed:
+            names = " ".join(self.r.choice(PLAIN) + self.r.choice(("", "", f"-{self.r.randint(1, 99)}", f"__{self.r.choice(PLAIN)}")) for _ in range(self.r.randint(0, 3)))
+            return self.r.choice(("", f' class="{names}"', f' id="{names}"')) if names else ""
         name = self.r.choice(HINTS[kind].split())
         return self.r.choice((f' class="{name}"', f' id="{name}"', f' class="box {name}-{self.word().encode("ascii", "ignore").decode()}"', f' role="{name}"'))
 
@@ -89,7 +95,7 @@ class Maker:
 
     def block(self) -> str:
         r = self.r
-        kind = r.choice(("p",) * 14 + ("broken", "broken", "h2", "h3", "list", "quote", "pre", "table", "figure", "div", "bare", "short", "short"))
+        kind = r.choice(("p",) * 14 + ("broken", "broken", "h2", "h3", "list", "list", "linked", "linked", "quote", "pre", "table", "figure", "div", "bare", "short", "short"))
         return {
             "p": lambda: f"<p>{self.prose(5, 90)}</p>",
             "short": lambda: f"<p>{self.prose(1, 3)}</p>",
@@ -97,6 +103,7 @@ class Maker:
             "h2": lambda: f"<h2>{self.prose(1, 8)}</h2>",
             "h3": lambda: f"<h3>{self.prose(1, 8)}</h3>",
             "list": lambda: "<ul>" + "".join(f"<li>{self.prose(2, 25)}</li>" for _ in range(r.randint(2, 6))) + "</ul>",
+            "linked": lambda: "<ul>" + "".join(f'<li><a href="/{i}">{self.prose(1, 9)}</a>{r.choice(("", " " + self.prose(2, 9)))}</li>' for i in range(r.randint(2, 6))) + "</ul>",
             "quote": lambda: f"<blockquote><p>{self.prose(5, 40)}</p></blockquote>",
             "pre": lambda: f"<pre>{self.prose(4, 30)}</pre>",
             "table": lambda: "<table>" + "".join(f"<tr><td>{self.prose(1, 5)}</td><td>{self.prose(1, 5)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>",
@@ -146,7 +153,7 @@ def example(seed: int) -> tuple[np.ndarray, np.ndarray]:
         kept[i] = max(kept[i], bool(page.words[i]) and part[i] == "keep")
         if i:
             kept[page.parent[i]] = max(kept[page.parent[i]], kept[i])
-    x, _ = hierarchy(page)
+    x = Features(page).rows(0, n)
     some = x[:, 0] > 0
     some[0] = False
     return x[some], kept[some]
@@ -164,8 +171,24 @@ def model() -> Forest:
     return Forest.load(STORED.read_text())
 
 
-def extract_text(page: Page, margins: np.ndarray, x: np.ndarray, parent: np.ndarray) -> str:
-    kept = decide(margins, parent, np.expm1(x[:, 0]))
+def margins_of(features: list[Features], forest: Forest) -> list[np.ndarray]:
+    """The margins of some pages' nodes; the matrix is made for TOGETHER nodes at a time."""
+    out: list[list[np.ndarray]] = [[] for _ in features]
+    waiting, n = [], 0
+    pieces = [(k, begin, min(begin + TOGETHER, f.n)) for k, f in enumerate(features) for begin in range(0, f.n, TOGETHER)]
+    for at, (k, begin, end) in enumerate(pieces):
+        waiting.append((k, features[k].rows(begin, end)))
+        n += end - begin
+        if n >= TOGETHER or at == len(pieces) - 1:
+            found = np.split(forest.margins(np.concatenate([x for _, x in waiting])), np.cumsum([len(x) for _, x in waiting])[:-1])
+            for (own, _), m in zip(waiting, found, strict=True):
+                out[own].append(m)
+            waiting, n = [], 0
+    return [np.concatenate(m) for m in out]
+
+
+def extract_text(page: Page, features: Features, margins: np.ndarray) -> str:
+    kept = decide(margins, features.parent, features.chars)
     return "\n\n".join(" ".join(w) for w, k in zip(page.words, kept, strict=True) if k and w)
 
 
@@ -179,20 +202,19 @@ def extract(pages: DataFrame, forest: Forest) -> DataFrame:
     decoded and white space made single, are joined by an empty line.
 
     Defined results: a null or blank html, or one without text, gives an empty
-    text; markup that is not closed ends with the page; repeated rows give the
-    same text; an empty table gives no rows; other columns are not read.
+    text; markup that is not closed ends with the page, and a page that is cut
+    off within a tag ends before it; a page is read in time linear in its
+    length, and what is held besides it grows with one page or with the bytes
+    of a block of small ones; repeated rows give the same text; an empty table
+    gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, len(b), TOGETHER):
-                part = b.slice(k, TOGETHER)
-                read = [Page(x.as_py() or "") for x in part.column(2)]
-                made = [hierarchy(p) for p in read]
-                ends = np.cumsum([len(x) for x, _ in made])
-                margins = np.split(forest.margins(np.concatenate([x for x, _ in made])), ends[:-1])
-                texts = [extract_text(p, m, x, up) for p, m, (x, up) in zip(read, margins, made, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        for part in slices(batches, 2):
+            read = [Page(x.as_py() or "") for x in part.column(2)]
+            made = [Features(p) for p in read]
+            texts = [extract_text(p, f, m) for p, f, m in zip(read, made, margins_of(made, forest), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return pages.select("page_id", "url", F.col("html")).mapInArrow(run, schema)
