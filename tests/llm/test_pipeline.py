@@ -3,7 +3,7 @@
 import json
 
 import corpus_pipeline
-import numpy as np
+from test_near_sets import classes
 
 import __spark_entry__
 
@@ -24,11 +24,15 @@ def test_stages(spark, tmp_path):
     assert counts[1] < counts[0] and counts[2] < counts[1] and counts[3] < counts[2]
     assert not [i for i in texts[1] if labels.get(i) == 0]
     assert all(i in texts[0] for i, q in labels.items() if q == 1)
-    assert len(set(texts[2].values())) == len(texts[2]) and set(texts[2].values()) == set(texts[1].values())
+    # one text of each class of the texts that the rules kept, that of its least doc_id
+    least = {}
+    for i, t in texts[1].items():
+        least[t] = min(i, least.get(t, i))
+    assert set(texts[2]) == {min(least[t] for t in c) for c in classes(list(least))}
     assert counts[5] == counts[4] and docs.columns[0] == "doc_id"
 
 
 def test_registered(spark):
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 14)]
-    assert json.dumps(names) and np.__version__
+    assert json.dumps(names)
