@@ -52,15 +52,39 @@ def node_id(name: Column) -> Column:
     return F.regexp_replace(name, "[^A-Za-z0-9_]", "_")
 
 
-#: Pieces of a source text: comments, strings, templates, and what is between them.
-PIECES = r"""//[^\n]*|/\*[\s\S]*?\*/|"[^"\\\n]*(?:\\.[^"\\\n]*)*"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'|`[^`\\]*(?:\\[\s\S][^`\\]*)*`|[^"'`/]+|[\s\S]"""
-QUIET = r"""^(?://|/\*|["'`][\s\S])"""
+#: Pieces of a source text: comments, strings, templates, patterns behind what no value can end, and what is between them.
+PIECES = (
+    r"""//[^\n]*|/\*[\s\S]*?\*/|"[^"\\\n]*(?:\\.[^"\\\n]*)*"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'|`[^`\\$]*(?:(?:\\[\s\S]|\$\{[^{}`]*\}|\$)[^`\\$]*)*`"""
+    r"""|(?<=[(,=:\[!&|?{};][ \t]{0,9})/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/|[^"'`/]+|[\s\S]"""
+)
+QUIET = r"""^(?://|/\*|/[^\n]+/$|["'][\s\S])"""
+
+
+def blanks(text: Column) -> Column:
+    return F.regexp_replace(text, "[^\n]", " ")
 
 
 def masked(text: Column) -> Column:
-    """A source text with blanks for the characters of comments and strings; lines and places stay."""
+    """A source text with blanks for the characters of comments, strings and patterns; lines and
+    places stay. Of templates, what is in `${}` stays, if it has no braces of its own."""
     pieces = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(QUIET), F.regexp_replace(x, "[^\n]", " ")).otherwise(x)), "")
+    parts = lambda x: F.regexp_extract_all(x, F.lit(r"\$\{[^{}`]*\}|\\[\s\S]|[^$\\]+|[\s\S]"), F.lit(0))
+    template = lambda x: F.array_join(F.transform(parts(x), lambda y: F.when(y.startswith("${"), y).otherwise(blanks(y))), "")
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(QUIET), blanks(x)).when(x.startswith("`"), template(x)).otherwise(x)), "")
+
+
+def split_outside(text: Column, signs: str) -> Column:
+    """The parts of a text between any of the signs, outside of brackets of all kinds; `=>` closes none."""
+    depth = lambda c: F.when(F.lit("([{<").contains(c), 1).when(F.lit(")]}>").contains(c), -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("depth"), F.array(F.lit("")).alias("parts"))
+
+    def step(a: Column, c: Column) -> Column:
+        cut = (a["depth"] == 0) & F.lit(signs).contains(c)
+        last, rest = F.element_at(a["parts"], -1), F.slice(a["parts"], F.lit(1), F.size(a["parts"]) - 1)
+        return F.struct((a["depth"] + depth(c)).alias("depth"), F.when(cut, F.concat(a["parts"], F.array(F.lit("")))).otherwise(F.concat(rest, F.array(F.concat(last, c)))).alias("parts"))
+
+    parts = F.aggregate(F.filter(F.split(F.regexp_replace(text, "=>", "\u21d2"), ""), lambda c: c != ""), start, step)["parts"]
+    return F.transform(parts, lambda p: F.trim(F.regexp_replace(p, "\u21d2", "=>")))
 
 
 def ordered_set(values: Column) -> Column:

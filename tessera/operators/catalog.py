@@ -47,8 +47,21 @@ def resolve_package(selectors: DataFrame, packages: DataFrame) -> DataFrame:
     return selectors.join(first, "selector", "left")
 
 
-def list_symbols(symbols: DataFrame, pattern: str | None = None, kind: str = "all", file: str | None = None, limit: int = 100, index_file: str | None = None) -> DataFrame:
-    """Symbols that match, those of the index file first, then by name, with the total before the limit."""
+def nearest_folder(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """file, folder: the deepest of `folders` (folder, ending in a slash) that holds each file; null if none does.
+
+    A file is joined by the folders on its own path and by no others, so that
+    files and folders may both be many.
+    """
+    parts = F.split("file", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n > 0, F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/"))).otherwise(""))
+    found = files.select("file", F.explode(above).alias("folder")).join(folders.select("folder").distinct(), "folder")
+    return files.select("file").join(found.groupBy("file").agg(F.max_by("folder", F.length("folder")).alias("folder")), "file", "left")
+
+
+def list_symbols(symbols: DataFrame, pattern: str | None = None, kind: str = "all", file: str | None = None, limit: int = 100, index_file: str | None = None, collation: str | None = None) -> DataFrame:
+    """Symbols that match, those of the index file first, then by name, with the total before the limit.
+    Names are in code point order, or in the order of a collation (`UNICODE`: as readers sort)."""
     found = symbols
     if pattern is not None:
         found = found.where(matches(F.col("name"), pattern))
@@ -58,7 +71,8 @@ def list_symbols(symbols: DataFrame, pattern: str | None = None, kind: str = "al
         found = found.where(matches(F.col("file"), file))
     total = found.agg(F.count("*").alias("total"))
     first = F.col("file") == index_file if index_file is not None else F.lit(False)
-    top = found.withColumn("is_index", first).orderBy(F.desc("is_index"), "name", "ord").limit(limit)
+    name = F.col("name") if collation is None else F.collate("name", collation)
+    top = found.withColumn("is_index", first).orderBy(F.desc("is_index"), name, "ord").limit(limit)
     return top.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total") > limit)
 
 

@@ -16,6 +16,8 @@ def evaluated(direct: DataFrame, snippet: DataFrame, diagnostics: DataFrame, tra
     directly or by a transform, and something spoke for it. A failed check
     blocks, but for that of direct fit.
     """
+    # rows of one partition each, or their product would have as many as all together
+    direct, snippet, diagnostics, transform = (d.coalesce(1) for d in (direct, snippet, diagnostics, transform))
     row = direct.select(F.col("ok").alias("direct")).crossJoin(snippet.select(F.col("ok").alias("snippet")))
     row = row.crossJoin(diagnostics.select(F.col("ok").alias("diagnostics"))).crossJoin(transform.select(F.col("ok").alias("transform")))
 

@@ -56,6 +56,33 @@ def line_of(offsets: DataFrame, lines: DataFrame) -> DataFrame:
 LEVELS = range(6, 42, 3)
 
 
+def in_cells(nodes: DataFrame) -> DataFrame:
+    """Nodes with the cells that they reach into, two at most, of the least size that holds their length."""
+    length = F.col("end") - F.col("pos")
+    level = F.lit(LEVELS[-1])
+    for k in reversed(LEVELS):
+        level = F.when(length < (1 << k), F.lit(k)).otherwise(level)
+    at = lambda place: F.call_function("shiftright", F.col(place), F.col("__level"))
+    return nodes.withColumn("__level", level).select("*", F.explode(F.sequence(at("pos"), at("end"))).alias("__cell"))
+
+
+def ancestor_of_kind(nodes: DataFrame, asked: DataFrame, kinds: list[str]) -> DataFrame:
+    """The innermost node of one of the kinds that holds each asked node and isn't the node itself.
+
+    nodes: file, node_id, pos, end (both included), kind. asked: file, node_id,
+    pos, end. Returns file, node_id, ancestor; null where no node of the kinds
+    is around. Of nodes with one extent, the one of the least node_id is outer.
+    Nodes nest or are apart, so that what holds a node's begin and reaches as
+    far as its end holds it; they meet in the cells of the begin alone.
+    """
+    outer = in_cells(nodes.where(F.col("kind").isin(kinds))).select("file", F.col("node_id").alias("ancestor"), F.col("pos").alias("__pos"), F.col("end").alias("__end"), "__level", "__cell")
+    looks = asked.select("file", "node_id", "pos", "end", F.explode(F.array(*map(F.lit, LEVELS))).alias("__level")).withColumn("__cell", F.call_function("shiftright", F.col("pos"), F.col("__level")))
+    same = (F.col("__pos") == F.col("pos")) & (F.col("__end") == F.col("end"))
+    met = looks.join(outer, ["file", "__level", "__cell"]).where("__pos <= pos and end <= __end").where(~same | (F.col("ancestor") < F.col("node_id")))
+    inner = met.groupBy("file", "node_id").agg(F.max_by("ancestor", F.struct(F.col("__pos") - F.col("__end"), "ancestor")).alias("ancestor"))
+    return asked.select("file", "node_id").join(inner, ["file", "node_id"], "left")
+
+
 def node_at(offsets: DataFrame, nodes: DataFrame) -> DataFrame:
     """The innermost node at each offset: file, offset, node_id.
 
@@ -66,12 +93,7 @@ def node_at(offsets: DataFrame, nodes: DataFrame) -> DataFrame:
     A node is in the cells it reaches into, two at most, of the least size that
     holds its length. An offset looks into one cell of each size.
     """
-    length = F.col("end") - F.col("pos")
-    level = F.lit(LEVELS[-1])
-    for k in reversed(LEVELS):
-        level = F.when(length < (1 << k), F.lit(k)).otherwise(level)
-    at = lambda place: F.call_function("shiftright", F.col(place), F.col("__level"))
-    held = nodes.withColumn("__level", level).select("*", F.explode(F.sequence(at("pos"), at("end"))).alias("__cell"))
+    held, at = in_cells(nodes), lambda place: F.call_function("shiftright", F.col(place), F.col("__level"))
     asked = offsets.select("file", "offset", F.explode(F.array(*map(F.lit, LEVELS))).alias("__level")).withColumn("__cell", at("offset"))
     found = asked.join(held, ["file", "__level", "__cell"]).where("pos <= offset and offset <= end")
     return found.groupBy("file", "offset").agg(F.max_by("node_id", "path").alias("node_id"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import spaceless, unwrapped
+from tessera.operators.pointers import ends
 
 #: Degrees of trust, least first, and types that match nothing.
 TRUST = ("unverified", "assignable", "verified")
@@ -47,6 +48,24 @@ def resolve_types(asked: DataFrame, annotations: DataFrame, aliases: DataFrame,
     return rows.select("asked", how.alias("how"), F.coalesce(*kinds).alias("type"))
 
 
+def filled_returns(callables: DataFrame, given: DataFrame) -> DataFrame:
+    """callable, returns, how: returns that aren't stated, from what the callable hands on.
+
+    callables: callable, returns (null if not stated). given: callable, and
+    either callee, a callable whose result it hands on, or type. A chain of
+    callees is followed to its end; one that ends nowhere, in a callable that
+    tells nothing, or in a circle leaves the return null, and how says so.
+    """
+    own = callables.select("callable", "returns").join(given.select("callable", "callee", "type"), "callable", "left")
+    own = own.select("callable", F.coalesce("returns", "type").alias("own"), "callee", F.when(F.col("returns").isNotNull(), "stated").when(F.col("type").isNotNull(), "own value").alias("how"))
+    last = ends(own.where("own is null and callee is not null").select(F.col("callable").alias("node"), F.col("callee").alias("next")))
+    there = own.select(F.col("callable").alias("end"), F.col("own").alias("far"))
+    rows = own.join(last.withColumnRenamed("node", "callable"), "callable", "left").join(there, "end", "left")
+    nothing = F.when(F.col("callee").isNull(), "nothing handed on").when(F.col("end").isNull(), "circle").otherwise("end unknown")
+    how = F.coalesce("how", F.when(F.col("far").isNotNull(), "handed on"), nothing)
+    return rows.select("callable", F.coalesce("own", "far").alias("returns"), how.alias("how"))
+
+
 def accepts(params: Column, wanted: str, position: int | None = 0) -> Column:
     """The place, from 0, of the first parameter of the type, or null; any place if `position` is None."""
     if position is not None:
@@ -97,30 +116,46 @@ def verified_prefix(ranked: DataFrame, limit: int, extra: int = 10) -> DataFrame
     return first.unionByName(rest)
 
 
-def trusted_top(ranked: DataFrame, verify, limit: int, batch: int = 8, least: str = "verified") -> tuple[list, int]:
-    """The first `limit` callables in rank order whose status is at least `least`,
-    and how many were verified.
+#: Cells that the range of scores is cut into, at most, to find the least score that is needed.
+SCORES = 256
+
+
+def trusted_top(ranked: DataFrame, verify, limit: int, least: str = "verified") -> DataFrame:
+    """The first `limit` callables in rank order whose status is at least `least`.
+
+    `verify` takes a DataFrame of candidates and adds their status; a filter
+    by trust then lies in the plan before the limit, and no candidate that
+    fails leaves Spark. Where verifying is dear, `score_floor` first finds the
+    score beyond which enough candidates pass.
+    """
+    trusted = verify(ranked).where(F.col("status").isin(list(TRUST[TRUST.index(least) :])))
+    return trusted.orderBy(F.desc("score"), *RANK).limit(limit)
+
+
+def score_floor(ranked: DataFrame, verify, limit: int, least: str = "verified") -> int | None:
+    """The greatest score with at least `limit` trusted callables at or above it; null if there are fewer.
 
-    Candidates are fetched in rank order and verified in batches, each twice the
-    one before, until enough have passed, so that the work follows the limit and
-    not the candidates. `verify` takes a DataFrame of a batch and adds status.
-    The ranking is made once and kept while batches are fetched.
+    Candidates are counted by score in one pass. From the top, the scores that
+    hold at least twice as many candidates as are lacking are verified and
+    counted, where what comes back is one number, until enough pass. Scores
+    are few, so that the counts are too: 85 points and their deductions.
     """
-    ranked, found = ranked.persist(), []  # type: DataFrame, list
-    done, after = 0, None
-    order = [F.desc("score"), *RANK]
-    while limit > 0 and len(found) < limit:
-        rows = ranked
-        if after is not None:
-            later = (F.col("score") < after["score"]) | ((F.col("score") == after["score"]) & (F.struct(*RANK) > F.struct(*[F.lit(after[c]).cast(ranked.schema[c].dataType).alias(c) for c in RANK])))
-            rows = rows.where(later)
-        some = verify(rows.orderBy(*order).limit(batch)).orderBy(*order).collect()  # `batch` rows
-        if not some:
-            break
-        done, after, batch = done + len(some), some[-1], 2 * batch
-        found += [r for r in some if TRUST.index(r["status"]) >= TRUST.index(least)]
-    ranked.unpersist()
-    return found[:limit], done
+    counts = ranked.groupBy("score").agg(F.count("*").alias("n")).orderBy(F.desc("score")).limit(SCORES).collect()
+    passed, at = 0, 0
+    while passed < limit and at < len(counts):
+        begin, some = at, 0
+        while at < len(counts) and some < 2 * (limit - passed):
+            some += counts[at]["n"]
+            at += 1
+        rows = ranked.where(F.col("score").between(counts[at - 1]["score"], counts[begin]["score"]))
+        passed += verify(rows).where(F.col("status").isin(list(TRUST[TRUST.index(least) :]))).count()
+    return counts[at - 1]["score"] if passed >= limit and at else None
+
+
+def trusted_first(ranked: DataFrame, verify, limit: int, least: str = "verified") -> DataFrame:
+    """`trusted_top` of the candidates that can still be among the first."""
+    floor = score_floor(ranked, verify, limit, least)
+    return trusted_top(ranked if floor is None else ranked.where(F.col("score") >= floor), verify, limit, least)
 
 
 def status_counts(rows: DataFrame) -> DataFrame:

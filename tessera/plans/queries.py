@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import stats, text
-from tessera.operators import catalog, compat, contract, diagnostics, graph, members, positions, revisions, transform
+from tessera.operators import assignable, catalog, compat, contract, diagnostics, graph, members, positions, revisions, transform
 from tessera.protocol import COMMANDS, SINGLE
 from tessera.sources import catalyst
 from tessera.sources.tables import Tables
@@ -392,9 +392,7 @@ def transform_overscan(t: Tables) -> DataFrame:
 @query(f"SELECT callable, score FROM (SELECT callable, score, row_number() OVER (ORDER BY score DESC, name, file, ord, callable) AS n FROM {BEST} WHERE status = 'verified') WHERE n <= 12")
 def transform_trust_topk(t: Tables) -> DataFrame:
     ranked = transform.best_of_each(matched(t)).drop("status")
-    found, _ = transform.trusted_top(ranked, with_status, 12)
-    rows = [(r["callable"], r["score"]) for r in found]
-    return t.spark.createDataFrame(rows, "callable long, score long")
+    return transform.trusted_top(ranked, with_status, 12).select("callable", "score")
 
 
 @query(f"""SELECT count(*) FILTER (status = 'unverified') AS n_unverified, count(*) FILTER (status = 'assignable') AS n_assignable,
@@ -403,6 +401,102 @@ def transform_stats(t: Tables) -> DataFrame:
     return transform.status_counts(matched(t))
 
 
+# Assignability: suppliers as types whose members lead to other suppliers
+
+#: Members of the types; `next` makes circles of types.
+PEERS = """(SELECT 's' || s_suppkey AS type_id, 'seg' AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'string' ELSE chr(39) || s_nationkey % 2 || chr(39) END AS type, false AS optional FROM supplier
+  UNION ALL SELECT 's' || s_suppkey, 'next', 's' || (s_suppkey * 7 % (SELECT count(*) FROM supplier)), false FROM supplier
+  UNION ALL SELECT 's' || s_suppkey, 'extra', 'number', s_suppkey % 8 = 0 FROM supplier WHERE s_suppkey % 4 = 0)"""
+ASSIGNABLE = f"""m AS (SELECT * FROM {PEERS}),
+d(a, b) AS (SELECT a, b FROM asked UNION SELECT x.type, y.type FROM d JOIN m x ON x.type_id = d.a JOIN m y ON y.type_id = d.b AND y.name = x.name WHERE x.type LIKE 's%' AND y.type LIKE 's%' AND x.type <> 'string' AND y.type <> 'string'),
+wrong AS (SELECT DISTINCT d.a, d.b FROM d JOIN m y ON y.type_id = d.b LEFT JOIN m x ON x.type_id = d.a AND x.name = y.name
+  WHERE d.a <> d.b AND ((x.name IS NULL AND NOT y.optional) OR (x.optional AND NOT y.optional) OR (y.name = 'seg' AND x.type <> y.type AND y.type <> 'string'))),
+f(a, b) AS (SELECT a, b FROM wrong UNION SELECT d.a, d.b FROM f JOIN m x ON x.type = f.a AND x.name = 'next' JOIN m y ON y.type = f.b AND y.name = 'next' JOIN d ON d.a = x.type_id AND d.b = y.type_id WHERE d.a <> d.b)"""
+
+
+def peers(t: Tables) -> DataFrame:
+    n = t.supplier.count()
+    key = F.col("s_suppkey")
+    name = lambda k: F.concat(F.lit("s"), k.cast("string"))
+    literal = F.concat(F.lit("'"), (F.col("s_nationkey") % 2).cast("string"), F.lit("'"))
+    no = F.lit(False)
+    parts = [
+        t.supplier.select(name(key).alias("type_id"), F.lit("seg").alias("name"), F.when(key % 5 == 0, "string").otherwise(literal).alias("type"), no.alias("optional")),
+        t.supplier.select(name(key), F.lit("next"), name(key * 7 % n), no),
+        t.supplier.where(key % 4 == 0).select(name(key), F.lit("extra"), F.lit("number"), key % 8 == 0),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(f"""WITH RECURSIVE asked AS (SELECT 's' || s_suppkey AS a, 's' || (s_suppkey * 3 % 11) AS b FROM supplier WHERE s_suppkey * 3 % 11 < (SELECT count(*) FROM supplier)), {ASSIGNABLE}
+SELECT a, b, NOT EXISTS (SELECT 1 FROM f WHERE f.a = d.a AND f.b = d.b) AS ok FROM d""")
+def assignable_pairs(t: Tables) -> DataFrame:
+    members, n = peers(t), t.supplier.count()
+    other = F.col("s_suppkey") * 3 % 11
+    asked = t.supplier.where(other < n).select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("a"), F.concat(F.lit("s"), other.cast("string")).alias("b"))
+    # the atoms of the members' types are no types of the table: the SQL leaves their pairs out
+    return assignable.assignable(asked, members, members.select("type_id")).where(F.col("a").rlike("^s[0-9]") & F.col("b").rlike("^s[0-9]"))
+
+
+@query(f"""WITH RECURSIVE asked AS (SELECT 's5' AS a, 's' || s_suppkey AS b FROM supplier), {ASSIGNABLE},
+c AS (SELECT DISTINCT l_partkey AS callable, l_suppkey AS ord FROM lineitem)
+SELECT callable, ord, CASE WHEN ord = 5 THEN 40 ELSE 24 END AS points FROM c
+WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.a = 's5' AND f.b = 's' || ord)""")
+def transform_assignable(t: Tables) -> DataFrame:
+    members = peers(t)
+    takes = t.lineitem.select(F.col("l_partkey").alias("callable"), F.col("l_suppkey").alias("ord")).distinct().withColumn("b", F.concat(F.lit("s"), F.col("ord")))
+    asked = takes.select(F.lit("s5").alias("a"), "b").distinct()
+    relation = assignable.assignable(asked, members, members.select("type_id"))
+    fits = assignable.related(takes.withColumn("a", F.lit("s5")), relation).where("ok")
+    return fits.select("callable", "ord", F.when(F.col("a") == F.col("b"), 40).otherwise(24).alias("points"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT 'c' || s_suppkey AS callable, CASE WHEN s_suppkey % 9 = 0 THEN 'R' || s_nationkey END AS returns,
+  CASE WHEN s_suppkey % 4 = 1 THEN 'c' || (s_suppkey + 4) WHEN s_suppkey % 9 <> 0 THEN 'c' || (s_suppkey * 7 % (SELECT count(*) FROM supplier)) END AS callee FROM supplier),
+w AS (SELECT callable, callable AS at, 0 AS n FROM c UNION SELECT w.callable, c.callee, n + 1 FROM w JOIN c ON c.callable = w.at WHERE c.returns IS NULL AND c.callee IS NOT NULL AND n <= (SELECT count(*) FROM c))
+SELECT c.callable, max(e.returns) AS returns FROM c JOIN w ON w.callable = c.callable LEFT JOIN c e ON e.callable = w.at GROUP BY c.callable""")
+def return_filled(t: Tables) -> DataFrame:
+    n, key = t.supplier.count(), F.col("s_suppkey")
+    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    callables = t.supplier.select(name(key).alias("callable"), F.when(key % 9 == 0, F.concat(F.lit("R"), F.col("s_nationkey"))).alias("returns"))
+    callee = F.when(key % 4 == 1, name(key + 4)).when(key % 9 != 0, name(key * 7 % n))
+    given = t.supplier.select(name(key).alias("callable"), callee.alias("callee"), F.lit(None).cast("string").alias("type")).where("callee is not null")
+    return transform.filled_returns(callables, given).select("callable", "returns")
+
+
+#: Nested intervals: an order is a file, its lines hold ten places each, pairs and fours of lines are around them.
+SPANS = """(SELECT DISTINCT l_orderkey AS file, CAST(3000 + l_linenumber AS INTEGER) AS node_id, 10 * l_linenumber AS pos, 10 * l_linenumber + 9 AS "end", 'line' AS kind FROM lineitem
+  UNION SELECT l_orderkey, CAST(2000 + l_linenumber // 2 AS INTEGER), 20 * (l_linenumber // 2), 20 * (l_linenumber // 2) + 19, CASE WHEN l_orderkey % 3 = 0 THEN 'pair' ELSE 'odd' END FROM lineitem
+  UNION SELECT l_orderkey, CAST(1000 + l_linenumber // 4 AS INTEGER), 40 * (l_linenumber // 4), 40 * (l_linenumber // 4) + 39, 'four' FROM lineitem)"""
+
+
+@query(f"""WITH s AS (SELECT * FROM {SPANS})
+SELECT a.file, a.node_id, arg_min(b.node_id, b."end" - b.pos) AS ancestor FROM s a LEFT JOIN s b ON a.file = b.file AND b.pos <= a.pos AND a."end" <= b."end" AND b.node_id <> a.node_id AND b.kind IN ('pair', 'four')
+GROUP BY a.file, a.node_id""")
+def node_ancestor(t: Tables) -> DataFrame:
+    n = F.col("l_linenumber")
+
+    def span(base: int, of: int, kind):
+        at = F.floor(n / of).cast("int")
+        return t.lineitem.select(F.col("l_orderkey").alias("file"), (base + at).alias("node_id"), (10 * of * at).alias("pos"), (10 * of * at + 10 * of - 1).alias("end"), kind.alias("kind"))
+
+    pair = F.when(F.col("l_orderkey") % 3 == 0, "pair").otherwise("odd")
+    nodes = span(3000, 1, F.lit("line")).union(span(2000, 2, pair)).union(span(1000, 4, F.lit("four"))).distinct()
+    return positions.ancestor_of_kind(nodes, nodes, ["pair", "four"])
+
+
+#: Pages' addresses as files; folders are addresses' beginnings that some pages share.
+PAGE_FILES = "(SELECT DISTINCT regexp_replace(url, '^https?://', '') AS file FROM pages)"
+PAGE_FOLDERS = f"(SELECT DISTINCT folder FROM (SELECT regexp_extract(file, '^[^/]*/') AS folder FROM {PAGE_FILES} UNION SELECT regexp_extract(file, '^[^/]*/[^/]*/') FROM {PAGE_FILES} WHERE length(file) % 2 = 0) WHERE folder <> '')"
+
+
+@query(f"""SELECT file, arg_max(folder, length(folder)) AS folder FROM {PAGE_FILES} LEFT JOIN {PAGE_FOLDERS} ON starts_with(file, folder) GROUP BY file""")
+def package_of_file(t: Tables) -> DataFrame:
+    files = t.pages.select(F.regexp_replace("url", "^https?://", "").alias("file")).distinct()
+    folders = files.select(F.regexp_extract("file", "^[^/]*/", 0).alias("folder")).union(files.where(F.length("file") % 2 == 0).select(F.regexp_extract("file", "^[^/]*/[^/]*/", 0)))
+    return catalog.nearest_folder(files, folders.where("folder <> ''"))
+
+
 # Contracts, batches, output, revisions
 
 CHECKS = """SELECT count(*) = 0 AS direct, count(*) > 0 AS snippet, bool_and(value >= 0) AS diagnostics, bool_or(value > 300) AS transform FROM events"""

@@ -12,7 +12,7 @@ from tessera.functions import text
 from tessera.operators import catalog, compat, contract, graph, members, positions, revisions, transform
 from tessera.protocol import Service, envelope, issues
 from tessera.session import Workspace
-from tessera.sources import catalyst, typescript
+from tessera.sources import catalyst, scopes, typescript
 
 
 def rows(df):
@@ -89,10 +89,11 @@ def test_unwrapping_and_absent_sides(spark):
 def test_trusted_search_verifies_no_more_than_it_needs(spark):
     ranked = spark.createDataFrame([(i, f"n{i:02}", "f", i, 100 - i) for i in range(30)], "callable int, name string, file string, ord int, score int")
     good = lambda df: df.withColumn("status", F.when(F.col("callable") % 2 == 0, "verified").otherwise("unverified"))
-    found, done = transform.trusted_top(ranked, good, 5, batch=4)
-    assert [r.callable for r in found] == [0, 2, 4, 6, 8] and done == 12
-    assert transform.trusted_top(ranked, good, 0) == ([], 0)
-    assert len(transform.trusted_top(ranked, good, 99, batch=8)[0]) == 15
+    for limit, want in ((5, [0, 2, 4, 6, 8]), (0, []), (99, list(range(0, 30, 2)))):
+        assert [r.callable for r in transform.trusted_top(ranked, good, limit).collect()] == want == [r.callable for r in transform.trusted_first(ranked, good, limit).collect()]
+    assert transform.score_floor(ranked, good, 5) == 91 and transform.score_floor(ranked, good, 16) is None
+    none = lambda df: df.withColumn("status", F.lit("unverified"))
+    assert transform.trusted_first(ranked, none, 3).collect() == [] and transform.trusted_first(ranked.where("false"), good, 3).collect() == []
 
 
 def test_failed_transform_blocks_a_direct_fit(spark):
@@ -168,12 +169,15 @@ def test_typescript(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/x.ts").write_text(SOURCE)
     files = typescript.read(spark, str(tmp_path))
-    assert [r[2:] for r in rows(typescript.declarations(files).select("file", "line", "name", "kind", "exported", "is_default"))] == [
+    parsed = scopes.parsed(files)
+    assert [r[2:] for r in rows(typescript.declarations(parsed).select("file", "line", "name", "kind", "exported", "is_default"))] == [
         ("Item", "interface", True, False), ("Local", "type", False, False), ("Shelf", "class", True, True), ("load", "function", True, False)
     ]
-    assert [(r.type_name, r.name, r.type, r.optional, r.readonly) for r in typescript.members(files).orderBy("ord").collect()] == [("Item", "id", "string", False, True), ("Item", "note", "number", True, False)]
-    assert [r.type_name for r in typescript.unsupported(files).collect()] == ["Local"]
-    assert {(r.type_name, r.base) for r in typescript.bases(files).collect()} == {("Item", "Base"), ("Shelf", "Rack")}
+    assert [(r.type_name, r.name, r.type, r.optional, r.readonly) for r in typescript.members(parsed).orderBy("ord").collect()] == [
+        ("Item", "id", "string", False, True), ("Item", "note", "number", True, False), ("Local", "a", "string", False, False), ("Local", "b", "{ c: number }", False, False)
+    ]
+    assert typescript.unsupported(files).collect() == []
+    assert {(r.type_name, r.base) for r in typescript.bases(parsed).collect()} == {("Item", "Base"), ("Shelf", "Rack")}
 
 
 def test_refresh_stream(spark, tmp_path):
