@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from tessera.llm.common import attach, bucket_count, cut, leading, prefix_sums, unit_hash
 
 
+#: Equal rows that one row unfolds to.
+COPIES = 4096
+
+
+def copies_apart(rows: DataFrame, seed: int) -> DataFrame:
+    """`rows` with dice, a hash that also tells equal rows apart.
+
+    Equal rows are counted before the shuffle and unfolded behind it, in runs
+    that different tasks take.
+    """
+    columns = [F.col(c) for c in rows.columns]
+    runs = rows.groupBy(*columns).agg(F.count("*").alias("n")).withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES}L)")))
+    runs = runs.repartition(*columns, "run")
+    rest = F.expr(f"sequence(run * {COPIES}L, least(n, (run + 1) * {COPIES}L) - 1)")
+    each = runs.withColumn("copy", F.explode(rest))
+    return each.withColumn("dice", unit_hash(F.lit(str(seed)), "doc_id", "print", "copy")).drop("n", "run", "print", "copy")
+
+
 def interleave(docs: DataFrame, n_shards: int, seed: int = 7) -> DataFrame:
     """Deals documents into shards whose mixture of sources matches the whole.
 
@@ -16,6 +34,8 @@ def interleave(docs: DataFrame, n_shards: int, seed: int = 7) -> DataFrame:
     sequence holds every source in even steps, and is cut into `n_shards` runs
     whose counts differ by one at most (law `rows`).
 
+    A row's hash is of its doc_id, its text, and its number among equal rows,
+    so that neither a repeated doc_id nor repeated rows fill one bucket.
     Both ranks are distributed prefix sums over buckets of the sort key: no
     task sees a whole source, and texts are not shuffled.
 
@@ -31,9 +51,9 @@ def interleave(docs: DataFrame, n_shards: int, seed: int = 7) -> DataFrame:
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~")).alias("src"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        unit_hash(F.lit(str(seed)), "doc_id").alias("dice"),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("print"),
     )
-    rows = cut(rows)
+    rows = cut(copies_apart(rows, seed))
     counts = cut(rows.groupBy("src").agg(F.count("*").alias("n_source")))
     total = counts.agg(F.coalesce(F.sum("n_source"), F.lit(0))).first()[0]
     rows = attach(rows, counts, "src")
