@@ -102,13 +102,14 @@ class Sums:
 
     def add(self, x: np.ndarray, centroids: Centroids) -> Sums:
         numbers, distances = centroids.nearest(x)
+        distances = distances.tolist() if isinstance(distances, np.ndarray) else distances
         exact = float(np.abs(x).max(initial=0)) * len(x) < EXACT
         for k in np.unique(numbers).tolist():
             at = numbers == k
             rows = x[at]
             sums = rows.sum(axis=0).tolist() if exact else [sum(int(v) for v in col) for col in rows.T.tolist()]
             self.counts[k] += len(rows)
-            self.distances[k] += sum(distances.tolist()[i] for i in np.flatnonzero(at).tolist()) if isinstance(distances, np.ndarray) else sum(distances[i] for i in np.flatnonzero(at).tolist())
+            self.distances[k] += sum(d for d, own in zip(distances, at.tolist(), strict=True) if own)
             self.totals[k] = [a + int(b) for a, b in zip(self.totals[k], sums, strict=True)]
         return self
 
