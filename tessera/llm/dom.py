@@ -14,7 +14,8 @@ MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
 INSIDE = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label|data-part)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 TOKEN = re.compile(r"[a-z]+")
-UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+#: The end tags of elements whose text is not part of a page, in letters of any case.
+ENDS: dict[str, re.Pattern] = {}
 
 #: Elements that end a run of text; elements whose text is not part of a page.
 BLOCKS = frozenset(
@@ -22,6 +23,7 @@ BLOCKS = frozenset(
     header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul""".split()
 )
 HIDDEN = frozenset("script style title textarea noscript template iframe object svg math select datalist canvas audio video noframes xmp".split())
+ENDS.update({name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in HIDDEN})
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
     "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"},
@@ -63,6 +65,15 @@ class Scanner:
             self.none_behind[what] = at
         return found
 
+    def find_any_case(self, name: str, at: int) -> int:
+        """The first place of an element's end tag from `at` on, or -1."""
+        if at >= self.none_behind.get(name, len(self.text) + 1):
+            return -1
+        found = ENDS[name].search(self.text, at)
+        if not found:
+            self.none_behind[name] = at
+        return found.start() if found else -1
+
     def tag_end(self, at: int) -> int:
         """The place of the `>` that ends a tag; quoted ones don't. A quote that
         isn't closed is a character like any other. -1 if the page is cut off."""
@@ -112,7 +123,7 @@ class Page:
 
     def read(self, text: str) -> None:
         stack, run, run_links, in_link, at, end = [0], [], 0, False, 0, len(text)
-        tag_of, hidden, still_open = self.tag, None, Counter()
+        tag_of, still_open = self.tag, Counter()
 
         def shut(k: int) -> None:
             """Closes the blocks from place k of the stack on."""
@@ -173,9 +184,7 @@ class Page:
                 stack.append(self.open(name, stack[-1], attributes))
                 still_open[name] += 1
             elif name in HIDDEN and not attributes.endswith("/"):
-                if hidden is None:
-                    hidden = Scanner(text.translate(UPPER))
-                over = hidden.find(f"</{name}", at)
+                over = scan.find_any_case(name, at)
                 at = end if over < 0 and name in ("script", "style", "textarea", "title") else max(over, at)
             elif name == "a":
                 in_link = True
