@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,6 +65,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more.
+
+    Its cleaner acts once the driver collects garbage, which it does half-hourly
+    by itself: too late for iterations that cut their lineage and go on.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of a partition of a narrow table, about, where there are few.
 PART_ROWS = 50_000
 
