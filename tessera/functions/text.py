@@ -52,11 +52,11 @@ def node_id(name: Column) -> Column:
     return F.regexp_replace(name, "[^A-Za-z0-9_]", "_")
 
 
-#: Pieces of a source text: comments, strings, templates, patterns behind what no value can end, and what is between them.
-PIECES = (
-    r"""//[^\n]*|/\*[\s\S]*?\*/|"[^"\\\n]*(?:\\.[^"\\\n]*)*"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'|`[^`\\$]*(?:(?:\\[\s\S]|\$\{[^{}`]*\}|\$)[^`\\$]*)*`"""
-    r"""|(?<=[(,=:\[!&|?{};][ \t]{0,9})/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/|[^"'`/]+|[\s\S]"""
-)
+#: Pieces of a source text: comments, strings and templates, patterns behind what no value can end, and what is between them.
+QUOTED = r"""//[^\n]*|/\*[\s\S]*?\*/|"[^"\\\n]*(?:\\.[^"\\\n]*)*"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'|`[^`\\$]*(?:(?:\\[\s\S]|\$\{[^{}`]*\}|\$)[^`\\$]*)*`"""
+PATTERN = r"""(?<=[(,=:\[!&|?{};][ \t]{0,9})/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/"""
+BETWEEN = r"""[^"'`/]+|[\s\S]"""
+PIECES = f"{QUOTED}|{PATTERN}|{BETWEEN}"
 QUIET = r"""^(?://|/\*|/[^\n]+/$|["'][\s\S])"""
 
 

@@ -632,7 +632,8 @@ def alias_resolved(t: Tables) -> DataFrame:
 
 
 QUOTED = """(SELECT doc_id, replace(replace(text, ' the ', ' "the" the '), ' and ', ' /* the ' || chr(10) || ' and */ ') AS text FROM documents)"""
-PIECES_SQL, QUIET_SQL = (x.replace("'", "''") for x in (text.PIECES, text.QUIET))
+#: Patterns need what DuckDB's expressions lack; the documents have none, and no templates with code in them.
+PIECES_SQL, QUIET_SQL = (x.replace("'", "''") for x in (f"{text.QUOTED}|{text.BETWEEN}", text.QUIET.replace("\"'", "\"'`")))
 
 
 @query(f"""
