@@ -26,6 +26,8 @@ from tessera.llm.common import cut, slices, written
 RANK_BUCKETS, PAIR_BUCKETS = 1 << 14, 65_521
 #: Above all ranks, and no rank.
 PAIR, NONE = 1 << 20, 1 << 30
+#: The end of a word, as a part: PAIR plus a rank that no piece has, so that no pair is made with it.
+END = 2 * PAIR - 1
 #: Bytes of a word up to which `fold_short` is used.
 SHORT = 64
 #: Most entries of the dictionary of frequent words; others are folded where they occur.
@@ -96,7 +98,7 @@ def fold_short(word: Column, ranks: Column) -> Column:
     """The ranks of the parts that a short word is merged into.
 
     The state is one array: parts, each the rank of its piece plus PAIR, and
-    between two of them the rank of both joined, or NONE; NONE also stands at
+    between two of them the rank of both joined, or NONE; NONE and END also stand at
     either end. A step merges the first pair of least rank, which is the new
     part, and looks up its two new neighbourhoods.
     """
@@ -113,9 +115,9 @@ def fold_short(word: Column, ranks: Column) -> Column:
         def with_next(x: Column, i: Column) -> Column:
             return F.array(x + PAIR, F.when(i + 1 < F.size(parts), joined(x, F.get(parts, i + 1), ranks)).otherwise(F.lit(NONE)))
 
-        state = F.concat(F.array(F.lit(NONE), F.lit(NONE)), F.flatten(F.transform(parts, with_next)), F.array(F.lit(NONE)))
+        state = F.concat(F.array(F.lit(END), F.lit(NONE)), F.flatten(F.transform(parts, with_next)), F.array(F.lit(END)))
         final = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), state, step)
-        return F.transform(F.filter(final, lambda x: (x >= PAIR) & (x < NONE)), lambda x: x - PAIR)
+        return F.transform(F.filter(final, lambda x: (x >= PAIR) & (x < END)), lambda x: x - PAIR)
 
     letters = F.filter(F.split(word, "", -1), lambda c: c != "")
     return let(F.transform(letters, lambda c: F.get(ranks["bytes"], F.ascii(c))), start)

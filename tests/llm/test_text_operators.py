@@ -153,6 +153,16 @@ def test_byte_bpe(spark, edges, none):
     assert byte_bpe.encode(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_where_a_word_ends_with_a_merge(spark):
+    """A merge at a word's end has no neighbour, whatever ranks the pieces have: `!!!` stood for `un`."""
+    path, enc = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), encoding()
+    texts = [" lotusgun Soygun", " isolateüyorsun siznıцуmun", "characterizationun"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (byte_bpe.DICTIONARY, 0):
+        got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in byte_bpe.encode(df, path, public_tokenizers.PATTERN, most).collect()}
+        assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_splitter_on_odd_characters():
     split, enc = byte_bpe.splitter(public_tokenizers.PATTERN), encoding()
     for text in ("a\x1cb\x85 c  d", "  \n\t x", "don't we'LL 12½²", "é́ß​﻿…", "ab  "):
