@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import spaceless, split_outside
+from tessera.operators.pointers import ends
 from tessera.operators.rounds import held
 
 ALT = "array<struct<x:string,y:string>>"
@@ -60,8 +61,8 @@ def requirements(pairs: DataFrame, shapes_: DataFrame, aliases: DataFrame) -> Da
     """a, b, req, alts: what each pair needs; a requirement without alternatives can't be met, a pair without requirements holds."""
     rows = pairs
     for c in "ab":
-        rows = rows.join(shapes_.select(F.col("type_id").alias(c), F.col("members").alias(f"m_{c}")), c, "left")
-        rows = rows.join(aliases.select(F.col("type_id").alias(c), plain(F.col("type")).alias(f"alias_{c}")), c, "left")
+        rows = rows.join(shapes_.select(F.col("type_id").alias(c), F.col("members").alias(f"m_{c}")).hint("merge"), c, "left")
+        rows = rows.join(aliases.select(F.col("type_id").alias(c), plain(F.col("type")).alias(f"alias_{c}")).hint("merge"), c, "left")
     a, b = F.col("a"), F.col("b")
     rows = rows.select("a", "b", "alias_a", "alias_b", *(F.coalesce(f"m_{c}", inline(F.col(c))).alias(f"m_{c}") for c in "ab"))
     rows = rows.select("*", *(split_outside(F.col(c), "|").alias(f"parts_{c}") for c in "ab"), *(element(F.col(c)).alias(f"of_{c}") for c in "ab"))
@@ -105,8 +106,113 @@ def requirements(pairs: DataFrame, shapes_: DataFrame, aliases: DataFrame) -> Da
     return rows.select("a", "b", F.explode(needs).alias("r")).select("a", "b", "r.req", alts.alias("alts"))
 
 
-def assignable(asked: DataFrame, members: DataFrame, types: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """a, b, ok for all pairs that `asked` (a, b: type texts) leads to, `asked` included.
+#: Paths of doubled length are kept while they are no more than so many times the members.
+PATHS = 4
+
+
+def without(rows: DataFrame, others: DataFrame) -> DataFrame:
+    return rows.join(others.hint("merge"), ["a", "b"], "left_anti")
+
+
+def steps(table: DataFrame, aliases: DataFrame) -> DataFrame:
+    """t, word, to, optional: members that lead from one named object type to another.
+
+    Names alone, so that a pair of two of them needs what their members do and
+    nothing else; types that have a member twice are left to the rounds.
+    """
+    named = table.where(F.col("type_id").rlike(r"^[A-Za-z_$][\w$]*$") & ~F.col("type_id").isin(*TAKES_ALL, *FITS_ALL, "true", "false"))
+    named = named.where(F.size("members") == F.size(F.array_distinct(F.transform("members", lambda m: m["name"])))).join(aliases.select("type_id"), "type_id", "left_anti")
+    rows = named.select(F.col("type_id").alias("t"), F.explode("members").alias("m")).select("t", F.col("m.name").alias("word"), plain(F.col("m.type")).alias("to"), F.col("m.optional").alias("optional"))
+    return rows.join(named.select(F.col("type_id").alias("to")).hint("merge"), "to", "left_semi").select("t", "word", "to", "optional")
+
+
+def reached(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """`pairs` and those that members of named object types (see `steps`) lead to.
+
+    Paths of members are joined with themselves, so that each round reaches
+    twice as far: a circle of n types takes log2(n) rounds. Where a type has
+    many such members, paths become many; then the rounds of `assignable` go on.
+    What a pair of one type twice leads to is such a pair, and none is asked for.
+    """
+    seen, left, right = pairs, held(members.where("not optional").select("t", "word", "to")), held(members.select("t", "word", "to"))
+    most = PATHS * right.count()
+    while most:
+        ahead = seen.where("a <> b").join(left.select(F.col("t").alias("a"), "word", F.col("to").alias("x")).hint("merge"), "a")
+        ahead = ahead.join(right.select(F.col("t").alias("b"), "word", F.col("to").alias("y")).hint("merge"), ["b", "word"])
+        new = held(without(ahead.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct(), seen))
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+        left, right = (held(longer(paths)) for paths in (left, right))
+        if max(left.count(), right.count()) > most:
+            break
+    return seen
+
+
+def longer(paths: DataFrame) -> DataFrame:
+    """Each two paths that follow on each other as one; its word tells both words."""
+    ahead = paths.select(F.col("t").alias("to"), F.col("word").alias("then"), F.col("to").alias("far"))
+    return paths.join(ahead.hint("merge"), "to").select("t", F.md5(F.concat(F.md5("word"), F.md5("then"))).alias("word"), F.col("far").alias("to"))
+
+
+def unfolded(asked: DataFrame, table: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """All pairs that `asked` leads to, and what they need."""
+    members, new = held(steps(table, aliases)), asked
+    seen = needs = None
+    while not new.isEmpty():
+        new = reached(new, members)
+        if seen is not None:
+            new = held(without(new, seen))
+        found = held(requirements(new, table, aliases))
+        needs, seen = (found, new) if seen is None else (needs.unionByName(found), seen.unionByName(new))
+        next_ = found.select(F.explode("alts").alias("z")).select(F.col("z.x").alias("a"), F.col("z.y").alias("b")).distinct()
+        new = held(without(next_, seen))
+    return asked if seen is None else seen, needs
+
+
+def open_needs(needs: DataFrame, fallen: DataFrame, sure: DataFrame) -> DataFrame:
+    """a, b, req, alts: requirements that no pair of `sure` meets, with the alternatives that aren't in `fallen`."""
+    known = fallen.withColumn("sure", F.lit(False)).unionByName(sure.withColumn("sure", F.lit(True))).toDF("x", "y", "sure")
+    rows = needs.select("a", "b", "req", F.explode("alts").alias("z")).select("a", "b", "req", F.col("z.x").alias("x"), F.col("z.y").alias("y"))
+    rows = rows.join(known.hint("merge"), ["x", "y"], "left")
+    left = rows.groupBy("a", "b", "req").agg(F.max(F.coalesce("sure", F.lit(False))).alias("met"), F.collect_list(F.when(F.col("sure").isNull(), F.struct("x", "y"))).alias("alts"))
+    return left.where("not met").drop("met")
+
+
+def falling(seen: DataFrame, needs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that don't hold.
+
+    What pairs without requirements and pairs that can't be met decide goes
+    first. A pair that then hangs on one other alone falls with the end of its
+    chain, which pointer jumping finds, and holds if that is a circle. Only
+    pairs that hang on several take rounds.
+    """
+    fallen = held(needs.where(F.size("alts") == 0).select("a", "b").distinct())
+    open_ = held(open_needs(needs, fallen, without(seen, needs.select("a", "b"))))
+    fallen = held(fallen.unionByName(open_.where(F.size("alts") == 0).select("a", "b")).distinct())
+    open_ = held(without(open_.where(F.size("alts") > 0), fallen))
+    one_way = open_.groupBy("a", "b").agg(F.sum(F.size("alts")).alias("n"), F.any_value("alts").alias("alts")).where("n = 1")
+    chain = held(one_way.select(F.struct("a", "b").alias("node"), F.struct(F.col("alts")[0]["x"].alias("a"), F.col("alts")[0]["y"].alias("b")).alias("next")))
+    far = held(ends(chain))
+
+    def with_chains(pairs: DataFrame) -> DataFrame:
+        return pairs.unionByName(far.join(pairs.select(F.struct("a", "b").alias("end")).hint("merge"), "end").select("node.*"))
+
+    several = without(open_, chain.select("node.*"))
+    rows = held(several.select("a", "b", "req", F.explode("alts").alias("z")).select("a", "b", "req", F.col("z.x").alias("x"), F.col("z.y").alias("y")))
+    fallen = new = held(with_chains(fallen).distinct())
+    while not rows.isEmpty() and not new.isEmpty():
+        hit = without(rows.join(new.toDF("x", "y").hint("merge"), ["x", "y"]).select("a", "b", "req").distinct(), fallen)
+        left = rows.join(hit.hint("merge"), ["a", "b", "req"]).join(fallen.toDF("x", "y").withColumn("gone", F.lit(True)).hint("merge"), ["x", "y"], "left")
+        lost = left.groupBy("a", "b", "req").agg(F.count_if(F.col("gone").isNull()).alias("n")).where("n = 0")
+        new = held(without(with_chains(held(lost.select("a", "b").distinct())).distinct(), fallen))
+        fallen = held(fallen.unionByName(new))
+    return fallen
+
+
+def assignable(asked: DataFrame, members: DataFrame, types: DataFrame, aliases: DataFrame | None = None, whole: bool = True) -> DataFrame:
+    """a, b, ok for all pairs that `asked` (a, b: type texts) leads to, `asked` included,
+    or, if not `whole`, for `asked` alone: what falls by its own members is then not unfolded.
 
     members: type_id, name, type, optional, of object types with those they
     inherit. types: type_id of all object types, those without members
@@ -119,28 +225,26 @@ def assignable(asked: DataFrame, members: DataFrame, types: DataFrame, aliases:
     spark = asked.sparkSession
     table = held(shapes(members, types))
     aliases = aliases if aliases is not None else spark.createDataFrame([], "type_id string, type string")
-    seen = new = held(asked.select(plain(F.col("a")).alias("a"), plain(F.col("b")).alias("b")).where("a is not null and b is not null").distinct())
-    needs = None
-    while not new.isEmpty():
-        found = held(requirements(new, table, aliases))
-        needs = found if needs is None else needs.unionByName(found)
-        next_ = found.select(F.explode("alts").alias("z")).select(F.col("z.x").alias("a"), F.col("z.y").alias("b")).distinct()
-        new = held(next_.join(seen, ["a", "b"], "left_anti"))
-        seen = seen.unionByName(new)
+    asked = held(asked.select(plain(F.col("a")).alias("a"), plain(F.col("b")).alias("b")).where("a is not null and b is not null").distinct())
+    if whole:
+        return verdicts(*unfolded(asked, table, aliases))
+    first = held(requirements(asked, table, aliases))
+    pairs = held(first.select(F.explode("alts").alias("z")).select(F.col("z.x").alias("a"), F.col("z.y").alias("b")).distinct())
+    unmet = held(requirements(pairs, table, aliases).where(F.size("alts") == 0).select("a", "b").distinct())
+    lost = open_needs(first, unmet, unmet.limit(0)).where(F.size("alts") == 0).select("a", "b")
+    lost = held(lost.unionByName(first.where(F.size("alts") == 0).select("a", "b")).distinct())
+    rest = held(without(asked, lost))
+    return lost.withColumn("ok", F.lit(False)).unionByName(verdicts(*unfolded(rest, table, aliases)).join(rest.hint("merge"), ["a", "b"], "left_semi"))
+
+
+def verdicts(seen: DataFrame, needs: DataFrame | None) -> DataFrame:
+    """a, b, ok of `seen`."""
     if needs is None:
         return seen.withColumn("ok", F.lit(True))
-    fallen = new = held(needs.where(F.size("alts") == 0).select("a", "b").distinct())
-    rows = needs.select("a", "b", "req", F.explode("alts").alias("z")).select("a", "b", "req", F.col("z.x").alias("x"), F.col("z.y").alias("y"))
-    while not new.isEmpty():
-        hit = rows.join(new.toDF("x", "y"), ["x", "y"]).select("a", "b", "req").distinct().join(fallen, ["a", "b"], "left_anti")
-        left = rows.join(hit, ["a", "b", "req"]).join(fallen.toDF("x", "y").withColumn("gone", F.lit(True)), ["x", "y"], "left")
-        lost = left.groupBy("a", "b", "req").agg(F.count_if(F.col("gone").isNull()).alias("n")).where("n = 0")
-        new = held(lost.select("a", "b").distinct())
-        fallen = held(fallen.unionByName(new))
-    return seen.join(fallen.withColumn("gone", F.lit(True)), ["a", "b"], "left").select("a", "b", F.col("gone").isNull().alias("ok"))
+    return seen.join(falling(seen, needs).withColumn("gone", F.lit(True)).hint("merge"), ["a", "b"], "left").select("a", "b", F.col("gone").isNull().alias("ok"))
 
 
 def related(asked: DataFrame, relation: DataFrame) -> DataFrame:
     """`asked` (a, b and other columns) with ok, from a relation that was made of its pairs."""
     rows = asked.select("*", plain(F.col("a")).alias("__a"), plain(F.col("b")).alias("__b"))
-    return rows.join(relation.toDF("__a", "__b", "ok"), ["__a", "__b"], "left").drop("__a", "__b")
+    return rows.join(relation.toDF("__a", "__b", "ok").hint("merge"), ["__a", "__b"], "left").drop("__a", "__b")

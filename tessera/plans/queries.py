@@ -446,7 +446,7 @@ def transform_assignable(t: Tables) -> DataFrame:
     members = peers(t)
     takes = t.lineitem.select(F.col("l_partkey").alias("callable"), F.col("l_suppkey").alias("ord")).distinct().withColumn("b", F.concat(F.lit("s"), F.col("ord")))
     asked = takes.select(F.lit("s5").alias("a"), "b").distinct()
-    relation = assignable.assignable(asked, members, members.select("type_id"))
+    relation = assignable.assignable(asked, members, members.select("type_id"), whole=False)
     fits = assignable.related(takes.withColumn("a", F.lit("s5")), relation).where("ok")
     return fits.select("callable", "ord", F.when(F.col("a") == F.col("b"), 40).otherwise(24).alias("points"))
 

@@ -153,6 +153,23 @@ def test_assignable_texts(spark):
     assert assignable.assignable(asked.where("false"), members, types).count() == 0
 
 
+def test_assignable_over_long_circles_and_chains(spark, monkeypatch):
+    """Types whose members lead far take rounds by the logarithm of the way; it was a table or more for each step."""
+    n, written = 40, []
+    # two circles of unlike lengths that agree, and a chain whose last type lacks what the circle has
+    rows = [(f"{c}{i}", "next", f"{c}{(i + 1) % k}", False) for c, k in (("A", n), ("B", n - 1)) for i in range(k)]
+    rows += [(f"C{i}", "next", f"C{i + 1}", False) for i in range(n)] + [("C40", "other", "string", False)]
+    members = spark.createDataFrame(rows, "type_id string, name string, type string, optional boolean")
+    asked = spark.createDataFrame([("A0", "B0"), ("C0", "A0"), ("A0", "C0"), ("C0", "C1")], "a string, b string")
+    hold = assignable.held
+    monkeypatch.setattr(assignable, "held", lambda df: written.append(1) or hold(df))
+    got = {(r.a, r.b): r.ok for r in assignable.assignable(asked, members, members.select("type_id")).collect()}
+    assert got["A0", "B0"] and not got["C0", "A0"] and not got["A0", "C0"] and not got["C0", "C1"]
+    assert len([p for p in got if p[0][0] == "A" and p[1][0] == "B"]) == n * (n - 1) and not got["C7", "A7"] and len(written) < n * 3
+    few = assignable.assignable(asked, members, members.select("type_id"), whole=False)
+    assert {(r.a, r.b): r.ok for r in few.collect()} == {k: got[k] for k in [("A0", "B0"), ("C0", "A0"), ("A0", "C0"), ("C0", "C1")]}
+
+
 def test_masked_templates_and_patterns(spark):
     text = "a = `x ${Name} y`; b = /[\"'`]/g; c = 'Name' // Name\nd = e / f / 'g'; /* Name */ Name"
     got = spark.createDataFrame([(text,)], "t string").select(masked(F.col("t")).alias("m")).first().m
