@@ -20,6 +20,15 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows of a partition where their number is known, so that what a task holds doesn't grow with the input.
+PART_ROWS = 250_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """`df` dealt out by `keys`, with partitions for so many rows in all; groupings by these keys and more need no other exchange."""
+    return df.repartition(rows // PART_ROWS + 1, *keys)
+
+
 def held(df: DataFrame) -> DataFrame:
     """`df` written as a table in the shared folder and read again: its lineage is
     cut, so that plans stay small over the rounds, a lost executor costs no more

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.rounds import spread
+
 
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
@@ -63,8 +65,11 @@ class Tables:
         )
 
     def callables(self) -> DataFrame:
-        pairs = self.lineitem.select("l_partkey", "l_suppkey").distinct()
-        rows = pairs.join(self.part, F.col("l_partkey") == F.col("p_partkey")).join(self.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        lines = self.lineitem.count()
+        pairs = spread(self.lineitem.select("l_partkey", "l_suppkey"), lines, "l_partkey", "l_suppkey").distinct()
+        rows = pairs.join(self.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("l_partkey", "l_suppkey", "s_nationkey")
+        # dealt out before the parts' texts come in: no task sorts more of them than its share
+        rows = spread(rows, lines, "l_partkey").join(self.part, F.col("l_partkey") == F.col("p_partkey"))
         nation = F.concat(F.lit("N"), F.col("s_nationkey").cast("string"))
         wrapped = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Promise<"), nation, F.lit(">"))).otherwise(nation)
         return rows.select(
