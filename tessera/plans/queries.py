@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import stats, text
 from tessera.operators import assignable, catalog, compat, contract, diagnostics, graph, members, positions, revisions, transform
+from tessera.operators.rounds import held
 from tessera.protocol import COMMANDS, SINGLE
 from tessera.sources import catalyst
 from tessera.sources.tables import Tables
@@ -325,7 +326,7 @@ def graph_bounded(t: Tables) -> DataFrame:
 @query(f"""{WALK}, l AS (SELECT DISTINCT root, '  ' || src || ' --> ' || dst AS line FROM w)
 SELECT root, count(*) AS n_edges, 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS graph FROM l GROUP BY root""")
 def graph_render(t: Tables) -> DataFrame:
-    return graph.rendered(graph_bounded(t))
+    return graph.rendered(graph_bounded(t), rows=3 * t.orders.count())
 
 
 # Transform search
@@ -481,7 +482,7 @@ def node_ancestor(t: Tables) -> DataFrame:
         return t.lineitem.select(F.col("l_orderkey").alias("file"), (base + at).alias("node_id"), (10 * of * at).alias("pos"), (10 * of * at + 10 * of - 1).alias("end"), kind.alias("kind"))
 
     pair = F.when(F.col("l_orderkey") % 3 == 0, "pair").otherwise("odd")
-    nodes = span(3000, 1, F.lit("line")).union(span(2000, 2, pair)).union(span(1000, 4, F.lit("four"))).distinct()
+    nodes = held(span(3000, 1, F.lit("line")).union(span(2000, 2, pair)).union(span(1000, 4, F.lit("four"))).distinct())
     return positions.ancestor_of_kind(nodes, nodes, ["pair", "four"])
 
 
