@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -56,16 +56,27 @@ def line_of(offsets: DataFrame, lines: DataFrame) -> DataFrame:
 LEVELS = range(6, 42, 3)
 
 
-def in_cells(nodes: DataFrame) -> DataFrame:
-    """Nodes with the cells that they reach into, two at most, of the least size that holds their length."""
-    length = F.col("end") - F.col("pos")
+def level_of(length: Column) -> Column:
+    """The least size of cells that holds a length; it never falls as lengths rise."""
     level = F.lit(LEVELS[-1])
     for k in reversed(LEVELS):
         level = F.when(length < (1 << k), F.lit(k)).otherwise(level)
+    return level
+
+
+def in_cells(nodes: DataFrame) -> DataFrame:
+    """Nodes with the cells that they reach into, two at most, of the least size that holds their length."""
+    level = level_of(F.col("end") - F.col("pos"))
     at = lambda place: F.call_function("shiftright", F.col(place), F.col("__level"))
     return nodes.withColumn("__level", level).select("*", F.explode(F.sequence(at("pos"), at("end"))).alias("__cell"))
 
 
+def look_ups(asked: DataFrame, sizes: list[int]) -> DataFrame:
+    """file, node_id, pos, end and the cells of those sizes, none less than its own, that each node begins in."""
+    own = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda k: k >= level_of(F.col("end") - F.col("pos")))
+    return asked.select("file", "node_id", "pos", "end", F.explode(own).alias("__level")).withColumn("__cell", F.call_function("shiftright", F.col("pos"), F.col("__level")))
+
+
 def ancestor_of_kind(nodes: DataFrame, asked: DataFrame, kinds: list[str]) -> DataFrame:
     """The innermost node of one of the kinds that holds each asked node and isn't the node itself.
 
@@ -73,10 +84,13 @@ def ancestor_of_kind(nodes: DataFrame, asked: DataFrame, kinds: list[str]) -> Da
     pos, end. Returns file, node_id, ancestor; null where no node of the kinds
     is around. Of nodes with one extent, the one of the least node_id is outer.
     Nodes nest or are apart, so that what holds a node's begin and reaches as
-    far as its end holds it; they meet in the cells of the begin alone.
+    far as its end holds it; they meet in the cells of the begin alone. What
+    holds a node is no shorter, so that a node looks into cells of its own size
+    and more, and of those only into sizes that nodes of the kinds have.
     """
+    sizes = sorted(r[0] for r in nodes.where(F.col("kind").isin(kinds)).select(level_of(F.col("end") - F.col("pos"))).distinct().collect())
     outer = in_cells(nodes.where(F.col("kind").isin(kinds))).select("file", F.col("node_id").alias("ancestor"), F.col("pos").alias("__pos"), F.col("end").alias("__end"), "__level", "__cell")
-    looks = asked.select("file", "node_id", "pos", "end", F.explode(F.array(*map(F.lit, LEVELS))).alias("__level")).withColumn("__cell", F.call_function("shiftright", F.col("pos"), F.col("__level")))
+    looks = look_ups(asked, sizes)
     same = (F.col("__pos") == F.col("pos")) & (F.col("__end") == F.col("end"))
     met = looks.join(outer, ["file", "__level", "__cell"]).where("__pos <= pos and end <= __end").where(~same | (F.col("ancestor") < F.col("node_id")))
     inner = met.groupBy("file", "node_id").agg(F.max_by("ancestor", F.struct(F.col("__pos") - F.col("__end"), "ancestor")).alias("ancestor"))

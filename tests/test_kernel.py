@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text
-from tessera.operators import catalog, compat, contract, graph, members, positions, revisions, transform
+from tessera.operators import catalog, compat, contract, graph, members, positions, revisions, rounds, transform
 from tessera.protocol import Service, envelope, issues
 from tessera.session import Workspace
 from tessera.sources import catalyst, scopes, typescript
+from tessera.sources.tables import Tables
 
 
 def rows(df):
@@ -196,3 +197,19 @@ def test_refresh_stream(spark, tmp_path):
     assert [[r.file for r in files_at(spark, facts, n).orderBy("file").collect()] for n in (1, 2)] == [["a", "b"], ["a", "c"]]
     events = spark.createDataFrame([Row(ts=None, event_type="v")], "ts timestamp, event_type string")
     assert event_counts(events).count() == 0
+
+
+def test_ancestors_are_looked_up_in_the_sizes_that_there_are(spark):
+    nodes = spark.createDataFrame([(1, 1, 0, 9000, "big"), (1, 2, 10, 49, "small"), (1, 3, 20, 21, "leaf"), (1, 4, 100, 8000, "leaf"), (2, 1, 0, 5, "leaf")], "file long, node_id int, pos long, end long, kind string")
+    got = {(r.file, r.node_id): r.ancestor for r in positions.ancestor_of_kind(nodes, nodes, ["big", "small"]).collect()}
+    assert got == {(1, 1): None, (1, 2): 1, (1, 3): 2, (1, 4): 1, (2, 1): None}
+    # two sizes for the short nodes, one for the long ones: each node looked into cells of all twelve sizes
+    assert positions.look_ups(nodes, [6, 15]).count() == 3 * 2 + 2
+
+
+def test_partitions_of_graphs_and_callables_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(rounds, "PART_ROWS", 10)
+    edges = spark.range(200).select(F.concat(F.lit("o"), "id").alias("src"), F.concat(F.lit("c"), F.col("id") % 3).alias("dst"))
+    found = graph.rendered(graph.neighbourhood(edges, edges.select(F.col("src").alias("root")), 2), rows=200)
+    assert found.count() == 200 and found.rdd.getNumPartitions() == 21
+    assert transform.grouped(Tables(spark, "/root/testdata/sf0.001").callables()).rdd.getNumPartitions() > 40
