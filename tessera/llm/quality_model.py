@@ -86,7 +86,7 @@ class Machine:
 
 def joined(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = [len(r[0]) for r in rows]
-    return np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), np.cumsum([0, *sizes[:-1]])
+    return np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows], dtype=np.float64), np.cumsum([0, *sizes[:-1]])
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 5) -> Machine:
@@ -98,14 +98,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
         machine.bias = 0.0 if not len(rows) else (5.0 if labels[0] else -5.0)
         return machine
     known = np.bincount(np.concatenate([np.unique(r[0]) for r in rows]), minlength=width) >= 2
-    rows = [(at[keep], values[keep]) for at, values in rows if (keep := known[at]) is not None]
     machine.factors[known] = rng.normal(0, 0.05, (known.sum(), FACTORS))
     square_w, square_v, square_b = np.full(width, 1e-8), np.full((width, FACTORS), 1e-8), 1e-8
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
         for k in range(0, len(rows), BATCH):
             some = order[k : k + BATCH]
-            at, values, begins = joined([rows[i] for i in some])
+            at, values, begins = joined([(rows[i][0][keep], rows[i][1][keep]) for i in some if (keep := known[rows[i][0]]) is not None])
             margin, sums = machine.margins(at, values, begins)
             slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[some]) / len(some)
             lengths = np.diff(np.append(begins, len(at)))
@@ -151,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, most_bytes:
     got = rows.select("doc_id", "one.text", "one.n_chars", "one.quality").mapInArrow(run, "doc_id long, at array<int>, x array<float>, quality int").toArrow()
     got = got.take(pa.compute.sort_indices(got, [("doc_id", "ascending")])) if len(got) else got
     ends = np.cumsum(pa.compute.list_value_length(got["at"]).to_numpy())[:-1]
-    at, x = (np.split(got[c].combine_chunks().flatten().to_numpy().astype(t), ends) for c, t in (("at", np.int64), ("x", np.float64)))
+    at, x = (np.split(got[c].combine_chunks().flatten().to_numpy(), ends) for c in ("at", "x"))
     return fit(list(zip(at, x, strict=True)) if len(got) else [], np.array(got["quality"].to_pylist(), np.float64))
 
 
