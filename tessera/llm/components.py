@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, packed
+from tessera.llm.common import cut, forget, packed
 
 
 def large_star(edges: DataFrame, rows: int) -> DataFrame:
@@ -22,11 +22,12 @@ def small_star(edges: DataFrame, rows: int) -> DataFrame:
     return packed(down.union(least.select(F.col("m").alias("a"), "b")), rows).distinct()
 
 
-def settled(edges: DataFrame) -> bool:
-    """Whether every node is either a root or linked to one root alone."""
+def unsettled(edges: DataFrame) -> tuple[int, int]:
+    """How many edges there are, and how many nodes that are neither a root nor linked to one root alone."""
     ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("low")).union(edges.select(F.col("b").alias("node"), F.lit(1).alias("low")))
     roles = ends.groupBy("node").agg(F.sum("low").alias("low"), F.min("low").alias("least"))
-    return roles.where("low > 1 or low = 1 and least = 0").isEmpty()
+    got = roles.agg(F.sum("low").alias("rows"), F.count_if(F.expr("low > 1 or low = 1 and least = 0")).alias("bad")).first()
+    return got["rows"] or 0, got["bad"]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,13 +37,14 @@ def components(edges: DataFrame) -> DataFrame:
     of rounds logarithmic in the size of a component. A round groups and joins
     by node; hubs are summed before the shuffle, and hot keys of the joins are
     split by adaptive execution. Rounds are cut by reliable checkpoints, in no
-    more files than their edges fill.
+    more files than their edges fill. A round is two queries, one that counts
+    and one that makes both stars: each query leaves plans, broadcasts and code
+    in the driver, whatever its size.
     """
     edges = cut(edges)
-    while rows := edges.count():
-        edges = packed(edges, rows)
-        if settled(edges):
-            break
-        edges = cut(packed(large_star(edges, rows), rows))
-        edges = cut(packed(small_star(edges, rows), rows))
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).distinct()
+    while True:
+        rows, bad = unsettled(edges)
+        if not bad:
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).distinct()
+        edges = cut(packed(small_star(packed(large_star(packed(edges, rows), rows), rows), rows), rows))
+        forget(edges.sparkSession)

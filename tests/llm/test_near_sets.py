@@ -7,6 +7,7 @@ from collections import defaultdict
 from edge_cases import edge_rows
 
 from tessera.llm import near_sets
+from tessera.llm.components import components
 
 SCHEMA = "doc_id long, text string"
 
@@ -96,3 +97,32 @@ def test_shingles_of_a_few_rows_in_a_hundred_come_last(spark, monkeypatch):
     rows = [(i, f"a{i} b{i} c{i} d{i} e{i} the same five words here" + " x" * (i % 2)) for i in range(2000)]
     known, counts = near_sets.frequent(spark.createDataFrame(rows, SCHEMA), 5, 42)
     assert len(known) == len(counts) > 0 and counts.max() > 100
+
+
+def jobs(spark, run):
+    """How many jobs a call takes."""
+    spark.sparkContext.setJobGroup("counted", "counted")
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_leave_the_driver_few_jobs(spark):
+    """Each query leaves plans and code in the driver. A chain of 200 nodes took four queries a round, with 94 jobs in all."""
+    chain = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long").repartition(3)
+    got = {}
+    n = jobs(spark, lambda: got.update({r.node: r.root for r in components(chain).collect()}))
+    assert got == dict.fromkeys(range(1, 201), 0) and n < 85
+
+
+def test_rounds_of_a_bucket_end_when_pivots_suffice(spark, monkeypatch):
+    """Where a bucket has no more nodes outside of its largest class than pivots, all are pivots; by hash, some always were left to another round."""
+    calls, checked = [], near_sets.verified
+    monkeypatch.setattr(near_sets, "verified", lambda *a: calls.append(1) or checked(*a))
+    nothing = near_sets.np.array([], near_sets.np.uint64)
+    monkeypatch.setattr(near_sets, "frequent", lambda *a: (nothing, nothing))
+    rows = [(i, f"same five words in all own{i}") for i in range(160)]
+    got = near_sets.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    assert got.select("root").distinct().count() == 160 and len(calls) == 3
