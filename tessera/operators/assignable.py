@@ -106,6 +106,12 @@ def requirements(pairs: DataFrame, shapes_: DataFrame, aliases: DataFrame) -> Da
     return rows.select("a", "b", F.explode(needs).alias("r")).select("a", "b", "r.req", alts.alias("alts"))
 
 
+#: What names a shape begins with, and the type of its members that lead to named object types; in no type's text.
+MARK = "\0"
+#: Rows up to which a side of a join is broadcast.
+FEW = 20_000
+#: Rounds in which pairs of named object types fall step by step; the rest falls by pointer jumping.
+STEPS = 24
 #: Paths of doubled length are kept while they are no more than so many times the members.
 PATHS = 4
 
@@ -114,60 +120,117 @@ def without(rows: DataFrame, others: DataFrame) -> DataFrame:
     return rows.join(others.hint("merge"), ["a", "b"], "left_anti")
 
 
-def steps(table: DataFrame, aliases: DataFrame) -> DataFrame:
-    """t, word, to, optional: members that lead from one named object type to another.
+def kinds(table: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Named object types as a shape, which many share, and the members that lead to other named object types.
 
-    Names alone, so that a pair of two of them needs what their members do and
-    nothing else; types that have a member twice are left to the rounds.
+    t, kind, refs of each type, and kind, shape of each shape: its members by
+    name, where one that leads to a named object type has the type MARK. Names
+    alone, so that a pair of two of them needs what their shapes do and what
+    their references do, and nothing else; types that have a member twice are
+    left to the rounds.
     """
     named = table.where(F.col("type_id").rlike(r"^[A-Za-z_$][\w$]*$") & ~F.col("type_id").isin(*TAKES_ALL, *FITS_ALL, "true", "false"))
     named = named.where(F.size("members") == F.size(F.array_distinct(F.transform("members", lambda m: m["name"])))).join(aliases.select("type_id"), "type_id", "left_anti")
-    rows = named.select(F.col("type_id").alias("t"), F.explode("members").alias("m")).select("t", F.col("m.name").alias("word"), plain(F.col("m.type")).alias("to"), F.col("m.optional").alias("optional"))
-    return rows.join(named.select(F.col("type_id").alias("to")).hint("merge"), "to", "left_semi").select("t", "word", "to", "optional")
+    rows = named.select(F.col("type_id").alias("t"), F.explode_outer("members").alias("m")).select("t", F.col("m.name").alias("word"), plain(F.col("m.type")).alias("to"), F.col("m.optional").alias("optional"))
+    rows = rows.join(named.select(F.col("type_id").alias("to"), F.lit(True).alias("ref")).hint("merge"), "to", "left")
+    shape = F.when(F.col("word").isNotNull(), F.struct(F.col("word").alias("name"), F.when(F.col("ref"), MARK).otherwise(F.col("to")).alias("type"), "optional"))
+    rows = held(rows.groupBy("t").agg(F.sort_array(F.collect_list(shape)).alias("shape"), F.collect_list(F.when(F.col("ref"), F.struct("word", "to", "optional"))).alias("refs")))
+    found = held(rows.select("shape").distinct().select("shape", F.concat(F.lit(MARK), F.monotonically_increasing_id().cast("string")).alias("kind")))
+    return held(rows.join(found.hint("merge"), "shape").select("t", "kind", "refs")), found
 
 
-def reached(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """`pairs` and those that members of named object types (see `steps`) lead to.
+def unseen(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """`rows`, which are held, without those of `seen`; a few rows don't make many of `seen` move."""
+    return without(rows, seen.join(F.broadcast(rows), ["a", "b"], "left_semi") if rows.count() <= FEW else seen)
+
+
+def reached(pairs: DataFrame, paths: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """`pairs` and those that members of named object types (`paths`: t, word, to, optional) lead to, and whether all are there but those of optional members.
 
     Paths of members are joined with themselves, so that each round reaches
     twice as far: a circle of n types takes log2(n) rounds. Where a type has
-    many such members, paths become many; then the rounds of `assignable` go on.
-    What a pair of one type twice leads to is such a pair, and none is asked for.
+    many such members, paths become many; then the rounds of `assignable` go on
+    from `most` paths. What a pair of one type twice leads to is such a pair,
+    and none is asked for.
     """
-    seen, left, right = pairs, held(members.where("not optional").select("t", "word", "to")), held(members.select("t", "word", "to"))
-    most = PATHS * right.count()
-    while most:
-        ahead = seen.where("a <> b").join(left.select(F.col("t").alias("a"), "word", F.col("to").alias("x")).hint("merge"), "a")
-        ahead = ahead.join(right.select(F.col("t").alias("b"), "word", F.col("to").alias("y")).hint("merge"), ["b", "word"])
+    seen = pairs
+    while True:
+        ahead = seen.where("a <> b").join(paths.where("not optional").select(F.col("t").alias("a"), "word", F.col("to").alias("x")).hint("merge"), "a")
+        ahead = ahead.join(paths.select(F.col("t").alias("b"), "word", F.col("to").alias("y")).hint("merge"), ["b", "word"])
         new = held(without(ahead.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct(), seen))
         if new.isEmpty():
-            break
+            return seen, True
         seen = seen.unionByName(new)
-        left, right = (held(longer(paths)) for paths in (left, right))
-        if max(left.count(), right.count()) > most:
-            break
-    return seen
+        paths = held(longer(paths))
+        if paths.count() > most:
+            return seen, False
 
 
 def longer(paths: DataFrame) -> DataFrame:
-    """Each two paths that follow on each other as one; its word tells both words."""
-    ahead = paths.select(F.col("t").alias("to"), F.col("word").alias("then"), F.col("to").alias("far"))
-    return paths.join(ahead.hint("merge"), "to").select("t", F.md5(F.concat(F.md5("word"), F.md5("then"))).alias("word"), F.col("far").alias("to"))
+    """Each two paths that follow on each other as one; its word tells both words, and it is optional if either is."""
+    ahead = paths.select(F.col("t").alias("to"), F.col("word").alias("then"), F.col("to").alias("far"), F.col("optional").alias("also"))
+    word = F.md5(F.concat(F.md5("word"), F.md5("then"))).alias("word")
+    return paths.join(ahead.hint("merge"), "to").select("t", word, F.col("far").alias("to"), (F.col("optional") | F.col("also")).alias("optional"))
+
+
+def paired(pairs: DataFrame, types: DataFrame) -> DataFrame:
+    """`pairs` with kind_a, kind_b (null unless both are different named object types) and next: the pairs x, y that their references need."""
+    rows = pairs
+    for c in "ab":
+        rows = rows.join(types.select(F.col("t").alias(c), F.col("kind").alias(f"kind_{c}"), F.col("refs").alias(f"refs_{c}")).hint("merge"), c, "left")
+    simple = (F.col("a") != F.col("b")) & F.col("kind_a").isNotNull() & F.col("kind_b").isNotNull()
+
+    def needed(m: Column) -> Column:
+        own = F.filter("refs_a", lambda x: (x["word"] == m["word"]) & (~x["optional"] | m["optional"]))
+        return F.transform(own, lambda x: F.struct(m["word"].alias("word"), x["to"].alias("x"), m["to"].alias("y"), x["optional"].alias("optional")))
+
+    next_ = F.flatten(F.transform("refs_b", needed))
+    return rows.select("a", "b", *(F.when(simple, F.col(c)).alias(c) for c in ("kind_a", "kind_b")), F.when(simple, next_).alias("next"))
 
 
-def unfolded(asked: DataFrame, table: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """All pairs that `asked` leads to, and what they need."""
-    members, new = held(steps(table, aliases)), asked
-    seen = needs = None
+def mixed(pairs: DataFrame, shapes_: DataFrame) -> DataFrame:
+    """The pairs kind_a, kind_b of shapes where a member leads to a named object type in one and not in the other."""
+    rows = pairs
+    for c in "ab":
+        rows = rows.join(shapes_.select(F.col("kind").alias(f"kind_{c}"), F.col("shape").alias(f"shape_{c}")).hint("merge"), f"kind_{c}")
+    leads = lambda m: m["type"].eqNullSafe(F.lit(MARK))
+    differ = F.exists("shape_b", lambda m: F.exists("shape_a", lambda x: (x["name"] == m["name"]) & (leads(x) != leads(m))))
+    return rows.where(differ).select("kind_a", "kind_b")
+
+
+def unfolded(asked: DataFrame, table: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """All pairs that `asked` leads to: those with what they need, and those of named object types.
+
+    Of the latter (see `paired`) each needs the pair of its shapes, which is
+    unfolded like any other, and the pairs of its references, so that what
+    members without references need is found once for each pair of shapes.
+    """
+    types, shapes_ = kinds(table, aliases)
+    members = held(types.select("t", F.explode("refs").alias("m")).select("t", "m.*"))
+    table = table.unionByName(shapes_.select(F.col("kind").alias("type_id"), F.col("shape").alias("members")))
+    new, seen, needs, bulk, most = asked, asked.limit(0), None, None, PATHS * members.count()
     while not new.isEmpty():
-        new = reached(new, members)
-        if seen is not None:
-            new = held(without(new, seen))
-        found = held(requirements(new, table, aliases))
-        needs, seen = (found, new) if seen is None else (needs.unionByName(found), seen.unionByName(new))
-        next_ = found.select(F.explode("alts").alias("z")).select(F.col("z.x").alias("a"), F.col("z.y").alias("b")).distinct()
-        new = held(without(next_, seen))
-    return asked if seen is None else seen, needs
+        complete = True
+        if not new.join(types.select(F.col("t").alias("a")).hint("merge"), "a", "left_semi").isEmpty():
+            new, complete = reached(new, members, most)
+            if bulk is not None:
+                new = unseen(held(new), seen.unionByName(bulk.select("a", "b")))
+        rows = held(paired(new, types))
+        pairs = held(rows.where("kind_a is not null").select("kind_a", "kind_b").distinct())
+        other = held(mixed(pairs, shapes_))
+        if not other.isEmpty():
+            rows = rows.join(other.withColumn("mixed", F.lit(True)).hint("merge"), ["kind_a", "kind_b"], "left")
+            rows = held(rows.select("a", "b", *(F.when(F.col("mixed").isNull(), F.col(c)).alias(c) for c in ("kind_a", "kind_b", "next"))))
+            pairs = pairs.join(other.hint("merge"), ["kind_a", "kind_b"], "left_anti")
+        single = rows.where("kind_a is null").select("a", "b").unionByName(held(without(pairs.toDF("a", "b"), seen)))
+        found = held(requirements(single, table, aliases))
+        needs, seen = found if needs is None else needs.unionByName(found), seen.unionByName(single)
+        some = rows.where("kind_a is not null")
+        bulk = some if bulk is None else bulk.unionByName(some)
+        ahead = some.select(F.explode("next").alias("z")).select("z.x", "z.y", "z.optional").where(F.lit(not complete) | F.expr("optional or x = y"))
+        next_ = found.select(F.explode("alts").alias("z")).select(F.col("z.x").alias("a"), F.col("z.y").alias("b")).unionByName(ahead.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        new = held(unseen(held(next_.distinct()), seen.unionByName(bulk.select("a", "b"))))
+    return seen, needs, bulk
 
 
 def open_needs(needs: DataFrame, fallen: DataFrame, sure: DataFrame) -> DataFrame:
@@ -237,11 +300,62 @@ def assignable(asked: DataFrame, members: DataFrame, types: DataFrame, aliases:
     return lost.withColumn("ok", F.lit(False)).unionByName(verdicts(*unfolded(rest, table, aliases)).join(rest.hint("merge"), ["a", "b"], "left_semi"))
 
 
-def verdicts(seen: DataFrame, needs: DataFrame | None) -> DataFrame:
-    """a, b, ok of `seen`."""
+def verdicts(seen: DataFrame, needs: DataFrame | None, bulk: DataFrame | None) -> DataFrame:
+    """a, b, ok of all pairs that were unfolded.
+
+    Where no other pair hangs on pairs of named object types, pairs of shapes
+    are decided first, and what is left of the latter falls by references.
+    """
     if needs is None:
         return seen.withColumn("ok", F.lit(True))
-    return seen.join(falling(seen, needs).withColumn("gone", F.lit(True)).hint("merge"), ["a", "b"], "left").select("a", "b", F.col("gone").isNull().alias("ok"))
+    asked = held(needs.select(F.explode("alts").alias("z")).select(F.col("z.x").alias("a"), F.col("z.y").alias("b")).distinct())
+    own = bulk.select("a", "b")
+    if own.join(F.broadcast(asked) if asked.count() <= FEW else asked.hint("merge"), ["a", "b"], "left_semi").isEmpty():
+        fell = held(falling(seen, needs))
+        shapes_ = fell.where(F.col("a").startswith(MARK)).toDF("kind_a", "kind_b")
+        shapes_ = F.broadcast(shapes_) if shapes_.count() <= FEW else shapes_.hint("merge")
+        ok = standing(held(bulk.join(shapes_, ["kind_a", "kind_b"], "left_anti").select("a", "b", "next")))
+        rest = own.join(ok.withColumn("ok", F.lit(True)).hint("merge"), ["a", "b"], "left").select("a", "b", F.coalesce("ok", F.lit(False)).alias("ok"))
+    else:
+        one_ = lambda x, y: F.array(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).cast(ALT)
+        more = bulk.select("a", "b", F.lit(MARK).alias("req"), one_("kind_a", "kind_b").alias("alts"))
+        steps = bulk.select("a", "b", F.explode("next").alias("z")).select("a", "b", F.col("z.word").alias("req"), one_("z.x", "z.y").alias("alts"))
+        seen, rest = seen.unionByName(own), None
+        fell = held(falling(seen, needs.unionByName(more).unionByName(steps)))
+    seen = seen.where(~F.col("a").startswith(MARK))
+    found = seen.join(fell.withColumn("gone", F.lit(True)).hint("merge"), ["a", "b"], "left").select("a", "b", F.col("gone").isNull().alias("ok"))
+    return found if rest is None else found.unionByName(rest)
+
+
+def standing(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of `pairs` (a, b, next) that lead to such pairs alone; a pair of one type twice always holds.
+
+    Most pairs fall within a few steps, which rounds take from the pairs that
+    have just fallen. What is left after STEPS rounds, with chains of any
+    length, falls by pointer jumping (see `falling`).
+    """
+    steps = held(pairs.select("a", "b", F.explode("next").alias("z")).select("a", "b", F.col("z.word").alias("req"), "z.x", "z.y").where("x <> y"))
+    left = pairs.select("a", "b")
+    lost = held(steps.join(left.toDF("x", "y").hint("merge"), ["x", "y"], "left_anti").select("a", "b").distinct())
+    some = None  # pairs that fell in rounds of a few, and are still in `left` and `steps`
+    for _ in range(STEPS):
+        fell = lost.count()
+        if not fell:
+            break
+        if fell <= FEW:
+            some = lost if some is None else some.unionByName(lost)
+            lost = steps.join(F.broadcast(lost.toDF("x", "y")), ["x", "y"], "left_semi").select("a", "b").distinct()
+            lost = held(lost.join(some.hint("merge"), ["a", "b"], "left_anti"))
+        else:
+            left, steps = held(without(left, lost)), held(without(steps, lost))
+            lost = held(steps.join(lost.toDF("x", "y").hint("merge"), ["x", "y"], "left_semi").select("a", "b").distinct())
+    if some is not None:
+        left, steps = held(without(left, some)), held(without(steps, some))
+    if lost.isEmpty():
+        return left
+    gone = lost.select(F.col("a"), F.col("b"), F.lit("").alias("req"), F.array().cast(ALT).alias("alts"))
+    alts = F.array(F.struct("x", "y")).cast(ALT).alias("alts")
+    return without(left, falling(left, held(steps.select("a", "b", "req", alts).unionByName(gone))))
 
 
 def related(asked: DataFrame, relation: DataFrame) -> DataFrame:

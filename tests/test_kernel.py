@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text
-from tessera.operators import catalog, compat, contract, graph, members, positions, revisions, rounds, transform
+from tessera.operators import assignable, catalog, compat, contract, graph, members, positions, revisions, rounds, transform
 from tessera.protocol import Service, envelope, issues
 from tessera.session import Workspace
 from tessera.sources import catalyst, scopes, typescript
@@ -213,3 +213,69 @@ def test_partitions_of_graphs_and_callables_grow_with_rows(spark, monkeypatch):
     found = graph.rendered(graph.neighbourhood(edges, edges.select(F.col("src").alias("root")), 2), rows=200)
     assert found.count() == 200 and found.rdd.getNumPartitions() == 21
     assert transform.grouped(Tables(spark, "/root/testdata/sf0.001").callables()).rdd.getNumPartitions() > 40
+
+
+def fitting(asked, types):
+    """The pairs that hold of all that `asked` leads to: the greatest fixpoint, in plain Python."""
+
+    def needs(a, b):
+        if a == b or b in ("any", "unknown") or a in ("any", "never"):
+            return []
+        if "|" in a or "|" in b:
+            return [[(p, q) for q in b.split("|")] for p in a.split("|")]
+        if a.endswith("[]") and b.endswith("[]"):
+            return [[(a[:-2], b[:-2])]]
+        if a[0] == "'" and b == "string":
+            return []
+        if a not in types or b not in types:
+            return [[]]
+        found = []
+        for name, (t, optional) in types[b].items():
+            own = types[a].get(name)
+            bad = not optional if own is None else own[1] and not optional
+            found.append([] if bad else [("never", "any")] if own is None else [(own[0], t)])
+        return found
+
+    all_, new = {}, set(asked)
+    while new:
+        all_ |= {p: needs(*p) for p in new}
+        new = {z for p in new for r in all_[p] for z in r} - set(all_)
+    holds = set(all_)
+    while lost := {p for p in holds if any(not holds.intersection(r) for r in all_[p])}:
+        holds -= lost
+    return all_, holds
+
+
+def relation(spark, asked, types):
+    members = [(t, n, x, o) for t, ms in types.items() for n, (x, o) in ms.items()]
+    tables = spark.createDataFrame(members, "type_id string, name string, type string, optional boolean"), spark.createDataFrame([(t,) for t in types], "type_id string")
+    rows = assignable.assignable(spark.createDataFrame(asked, "a string, b string"), *tables).collect()
+    assert len(rows) == len({(r.a, r.b) for r in rows})
+    return {(r.a, r.b): r.ok for r in rows}
+
+
+def test_assignable_against_a_plain_fixpoint(spark):
+    """Members that lead to named types in one type and not in the other, arrays and unions of such, optional ones."""
+    r, names = random.Random(3), [f"T{k}" for k in range(9)]
+    kinds = lambda: r.choice((r.choice(names), r.choice(names), "string", "'x'", "any", r.choice(names) + "[]", "|".join(r.sample(names, 2))))
+    types = {t: {n: (kinds(), r.random() < 0.2) for n in "pqr" if r.random() < 0.6} for t in names}
+    asked = [(a, b) for a in names for b in names]
+    all_, holds = fitting(asked, types)
+    got = relation(spark, asked, types)
+    assert got == {p: p in holds for p in all_} and 9 < sum(a != b for a, b in holds)
+
+
+def test_assignable_decides_shapes_once(spark, monkeypatch):
+    """What members that lead to no named type need is found for pairs of shapes, of which circles of types have few; each pair's needs were made before, 400 here."""
+    made, of = [], assignable.requirements
+    monkeypatch.setattr(assignable, "requirements", lambda pairs, *a: made.append(pairs.count()) or of(pairs, *a))
+    monkeypatch.setattr(assignable, "STEPS", 1)
+    # circles of the same shape hold; a chain of lists ends in another shape, nineteen steps from its begin
+    types = {f"A{k}": {"seg": ("'x'", False), "next": (f"A{(k + 1) % 20}", False)} for k in range(20)}
+    types |= {f"B{k}": {"seg": ("string", False), "next": (f"B{(k + 1) % 20}", False)} for k in range(20)}
+    types |= {f"C{k}": {"seg": ("string" if k < 19 else "number", False), "next": (f"C{min(k + 1, 19)}", False)} for k in range(20)}
+    asked = [(f"A{k}", f"{c}0") for k in range(20) for c in "BC"]
+    all_, holds = fitting(asked, types)
+    got = relation(spark, asked, types)
+    assert got == {p: p in holds for p in all_} and sum(got[f"A{k}", "B0"] for k in range(20)) == 20 and not got["A0", "C0"]
+    assert sum(made) < 20 < 400 < len(got)
